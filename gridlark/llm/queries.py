@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm.common import table
 from gridlark.llm.exact_dedup import exact_dedup
+from gridlark.llm.near_dedup import near_duplicates
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by 2-word shingles at similarity 0.8."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
