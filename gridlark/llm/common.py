@@ -59,3 +59,35 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> I
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
             yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             at = end
+
+
+#: Bits of one bitmap of Spark's bitmap functions.
+BITMAP_BITS = 32768
+
+
+def slots(key: Column, buckets: int) -> tuple[Column, Column]:
+    """Bucket and bits within it of a key, for Bloom filters of bitmaps."""
+    h = F.xxhash64(key)
+    bits = [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(BITMAP_BITS - 1)) for k in (19, 34, 49)]
+    return F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(buckets)), F.array_distinct(F.array(*bits))
+
+
+def test_slots(rows: DataFrame, column: str, known: DataFrame, buckets: int, name: str) -> DataFrame:
+    """Adds the boolean `name`: whether all bits of the column's key are set in `known` (bucket, bitmap).
+
+    `known` has at most `buckets` rows of 4 KiB, so it may be broadcast at any input size."""
+    bucket, bits = slots(F.col(column), buckets)
+    byte = lambda bit: F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    is_set = lambda bit: F.pmod(F.floor(byte(bit) / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+    rows = rows.withColumns({"bucket": bucket, "bits": bits}).join(F.broadcast(known), "bucket", "left")
+    return rows.withColumn(name, F.col("bitmap").isNotNull() & F.forall("bits", is_set)).drop("bucket", "bits", "bitmap")
+
+
+def mark_members(rows: DataFrame, column: str, keys: DataFrame, name: str, buckets: int = 1024) -> DataFrame:
+    """Adds the boolean `name`: false only for rows whose column is not among `keys` (its first column).
+
+    A Bloom filter of at most buckets * 4 KiB (4 MiB by default) is broadcast. When it is full, it lets more rows
+    pass, and a join after it decides; it only spares the others the shuffle."""
+    bucket, bits = slots(F.col(keys.columns[0]), buckets)
+    known = keys.select(bucket.alias("bucket"), F.explode(bits).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    return test_slots(rows, column, known, buckets, name)

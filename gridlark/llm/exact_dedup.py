@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import ascii_lower, scratch
-
-#: Bits of one bitmap of Spark's bitmap functions.
-BITMAP_BITS = 32768
-
-
-def _slots(digest: Column, buckets: int) -> tuple[Column, Column]:
-    """Bucket and the bits within it of a digest."""
-    h = F.xxhash64(digest)
-    bits = [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(BITMAP_BITS - 1)) for k in (19, 34, 49)]
-    return F.pmod(F.xxhash64(digest, F.lit("bucket")), F.lit(buckets)), F.array_distinct(F.array(*bits))
-
+from gridlark.llm.common import ascii_lower, scratch, slots, test_slots
 
 def repeat_filter(digests: DataFrame, column: str, buckets: int) -> DataFrame:
     """First pass: (bucket, bitmap) with a bit for each slot that two or more rows hit.
 
     Slots are counted with map-side combination. At most `buckets` bitmaps of 4 KiB come out, whatever the input."""
-    bucket, bits = _slots(F.col(column), buckets)
+    bucket, bits = slots(F.col(column), buckets)
     counted = digests.select(bucket.alias("bucket"), F.explode(bits).alias("bit")).groupBy("bucket", "bit").agg(F.count(F.lit(1)).alias("n"))
     return counted.where("n > 1").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
@@ -32,12 +21,7 @@ def maybe_repeated(digests: DataFrame, column: str, buckets: int = 1024) -> Data
 
     The filter has at most buckets * 4 KiB (4 MiB by default), so it may be broadcast at any input size; when it is
     full, more rows are taken for possibly repeated, and no result changes."""
-    bucket, bits = _slots(F.col(column), buckets)
-    byte = lambda bit: F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    is_set = lambda bit: F.pmod(F.floor(byte(bit) / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
-    known = F.broadcast(repeat_filter(digests, column, buckets))
-    rows = digests.withColumns({"bucket": bucket, "bits": bits}).join(known, "bucket", "left")
-    return rows.withColumn("maybe", F.col("bitmap").isNotNull() & F.forall("bits", is_set)).drop("bucket", "bits", "bitmap")
+    return test_slots(digests, column, repeat_filter(digests, column, buckets), buckets, "maybe")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
