@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridlark.llm.common import table
 from gridlark.llm.exact_dedup import exact_dedup
 from gridlark.llm.near_dedup import near_duplicates
+from gridlark.llm.repeats import remove_repeats
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,15 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of all strings of 200 bytes that occur more than once in the documents."""
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_repeated_substrings": op10_repeated_substrings,
 }
 
 ORACLES: dict[str, str] = {
