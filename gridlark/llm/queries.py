@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridlark.llm.common import table
 from gridlark.llm.exact_dedup import exact_dedup
+from gridlark.llm.language_model import log_bilinear_scores
 from gridlark.llm.near_dedup import near_duplicates
 from gridlark.llm.repeats import remove_repeats
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from those whose id is not held out."""
+    return log_bilinear_scores(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup over all documents."""
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -28,6 +35,7 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_repeated_substrings": op10_repeated_substrings,
