@@ -14,6 +14,8 @@ _BASE = int(_RNG.integers(2**62, 2**63, dtype=np.uint64)) * 2 + 1
 _INVERSE = pow(_BASE, -1, 2**64)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: ASCII bytes other than letters and digits.
+IS_GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -39,9 +41,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a block, and how many each row has. Words are runs without \\x20 and \\x09-\\x0D."""
-    solid = ~IS_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block, and how many each row has. Words are runs without \\x20 and \\x09-\\x0D,
+    or without other bytes given as `gap`."""
+    solid = ~gap[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()

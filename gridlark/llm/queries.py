@@ -12,6 +12,8 @@ from gridlark.llm.exact_dedup import exact_dedup
 from gridlark.llm.language_model import log_bilinear_scores
 from gridlark.llm.near_dedup import near_duplicates
 from gridlark.llm.repeats import remove_repeats
+from gridlark.llm.toxicity import graded_labels, score_severity
+from gridlark.llm.url_filter import Rule, judge_urls
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,20 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear_scores(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0)
 
 
+#: The rules of op4.
+RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of all documents, learned from their labels."""
+    return score_severity(table(spark, sf_dir, "documents"), graded_labels(table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup over all documents."""
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -36,6 +52,8 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op4_url_filter": op4_url_filter,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_repeated_substrings": op10_repeated_substrings,
