@@ -253,9 +253,9 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(id, tag, first, last): byte spans [first, last) of documents (id, tag, text) covered by repeated strings.
+    """(id, tag, spans): arrays of byte spans [first, last) of documents (id, tag, text) covered by repeated strings.
 
-    Spans of a document may overlap."""
+    A document has a row for each of its segments with spans; they may overlap."""
     found = scratch(docs.mapInArrow(_segmenter(length), "id long, at long, n long, least long, content long, own boolean"))
     often = found.groupBy("least").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("own")).where("c > 1 or own").select("least")
     often = scratch(found.drop("own").join(often, "least"))
@@ -271,10 +271,17 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     covered = pieces.where("not wide").withColumn("bucket", F.pmod(F.xxhash64("least"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(_transform(length), _COVERED)
     single = pieces.where("wide").mapInArrow(_windows(length), "least long, content long, copies long, first long, one long, two long")
     twice = single.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two")
-    covered = covered.union(single.join(twice, ["one", "two"]).select("least", "content", "first", F.col("first").alias("last"))).union(lone)
-    spans = often.join(covered, ["least", "content"])
+    covered = covered.union(single.join(twice, ["one", "two"]).select("least", "content", "first", F.col("first").alias("last")))
+    # one row for each content, neighbouring runs as one, so that each occurrence meets one row
+    covered = covered.groupBy("least", "content").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    before = lambda i: F.get(F.col("runs"), i - 1)["last"]
+    after = lambda i: F.get(F.col("runs"), i + 1)["first"]
+    opens = F.filter("runs", lambda r, i: (i == 0) | (before(i) + 1 < r["first"]))
+    closes = F.filter("runs", lambda r, i: (i == F.size("runs") - 1) | (r["last"] + 1 < after(i)))
+    covered = covered.select("least", "content", F.zip_with(opens, closes, lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"))).alias("runs"))
+    lone = lone.select("least", "content", F.array(F.struct("first", "last")).alias("runs"))
     start = F.col("at").bitwiseAND(F.lit((1 << _SHIFT) - 1))
-    return spans.select("id", F.shiftright("at", _SHIFT).alias("tag"), (start + F.col("first")).alias("first"), (start + F.col("last") + length).alias("last"))
+    return often.join(covered.union(lone), ["least", "content"]).select("id", F.shiftright("at", _SHIFT).alias("tag"), F.transform("runs", lambda r: F.struct((start + r["first"]).alias("first"), (start + r["last"] + length).alias("last"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -286,7 +293,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 22)).alias("tag"), text.alias("text"))
     docs = docs.select(F.coalesce("id", F.lit(-(2**63) + 1)).alias("id"), "tag", "text")
-    by_doc = scratch(repeated_spans(docs, length).groupBy("id", "tag").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")))
+    by_doc = repeated_spans(docs, length).groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    by_doc = scratch(by_doc.select("id", "tag", F.col("spans.first").alias("firsts"), F.col("spans.last").alias("lasts")))
     marked = mark_members(docs, "id", by_doc.select("id"), "hit")
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     cut = marked.where("hit").join(by_doc, ["id", "tag"], "left").select("id", "text", "firsts", "lasts").mapInArrow(_remover, out)
