@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import table
+from gridlark.llm.decontaminate import contamination
 from gridlark.llm.exact_dedup import exact_dedup
 from gridlark.llm.language_model import log_bilinear_scores
 from gridlark.llm.near_dedup import near_duplicates
+from gridlark.llm.pii import find_personal_data
 from gridlark.llm.repeats import remove_repeats
 from gridlark.llm.toxicity import graded_labels, score_severity
 from gridlark.llm.url_filter import Rule, judge_urls
@@ -21,6 +23,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear_scores(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The rules of op4.
 RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
 
@@ -30,6 +37,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity of all documents, learned from their labels."""
     return score_severity(table(spark, sf_dir, "documents"), graded_labels(table(spark, sf_dir, "labels")))
@@ -52,7 +64,9 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
+    "op5_pii": op5_pii,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
