@@ -11,7 +11,9 @@ from gridlark.llm.common import table
 from gridlark.llm.decontaminate import contamination
 from gridlark.llm.exact_dedup import exact_dedup
 from gridlark.llm.language_model import log_bilinear_scores
+from gridlark.llm.line_dedup import line_dedup_report
 from gridlark.llm.near_dedup import near_duplicates
+from gridlark.llm.packing import pack
 from gridlark.llm.pii import find_personal_data
 from gridlark.llm.repeats import remove_repeats
 from gridlark.llm.toxicity import graded_labels, score_severity
@@ -23,6 +25,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear_scores(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines of all documents."""
+    return line_dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -42,6 +49,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 512 to 4096 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity of all documents, learned from their labels."""
     return score_severity(table(spark, sf_dir, "documents"), graded_labels(table(spark, sf_dir, "labels")))
@@ -64,9 +76,11 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_pii": op5_pii,
+    "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
