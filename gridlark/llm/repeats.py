@@ -258,9 +258,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     A document has a row for each of its segments with spans; they may overlap."""
     found = scratch(docs.mapInArrow(_segmenter(length), "id long, at long, n long, least long, content long, own boolean"))
     often = found.groupBy("least").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("own")).where("c > 1 or own").select("least")
-    often = scratch(found.drop("own").join(often, "least"))
+    # aggregates are written before they are joined with the rows they count, so that Spark can split a hot key's rows
+    often = scratch(found.drop("own").join(scratch(often), "least"))
     contents = scratch(often.groupBy("least", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "at", "n")).alias("rep")))
-    per = contents.groupBy("least").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("rep.n") + (length - 1)).alias("size"))
+    per = scratch(contents.groupBy("least").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("rep.n") + (length - 1)).alias("size")))
     lone = contents.where("copies > 1").join(per.where("kinds = 1"), "least").select("least", "content", F.lit(0).cast("long").alias("first"), (F.col("rep.n") - 1).alias("last"))
     various = contents.join(per, "least").where("kinds > 1 or copies = 1").select("least", "content", "copies", "rep.id", "rep.n", (F.col("size") > TRANSFORM).alias("wide"), F.shiftright("rep.at", _SHIFT).alias("tag"), F.col("rep.at").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("start"))
     various = scratch(various)
@@ -270,7 +271,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     n_buckets = 1 + total // TRANSFORM
     covered = pieces.where("not wide").withColumn("bucket", F.pmod(F.xxhash64("least"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(_transform(length), _COVERED)
     single = pieces.where("wide").mapInArrow(_windows(length), "least long, content long, copies long, first long, one long, two long")
-    twice = single.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two")
+    twice = scratch(single.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two"))
     covered = covered.union(single.join(twice, ["one", "two"]).select("least", "content", "first", F.col("first").alias("last")))
     # one row for each content, neighbouring runs as one, so that each occurrence meets one row
     covered = covered.groupBy("least", "content").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
@@ -281,7 +282,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     covered = covered.select("least", "content", F.zip_with(opens, closes, lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"))).alias("runs"))
     lone = lone.select("least", "content", F.array(F.struct("first", "last")).alias("runs"))
     start = F.col("at").bitwiseAND(F.lit((1 << _SHIFT) - 1))
-    return often.join(covered.union(lone), ["least", "content"]).select("id", F.shiftright("at", _SHIFT).alias("tag"), F.transform("runs", lambda r: F.struct((start + r["first"]).alias("first"), (start + r["last"] + length).alias("last"))).alias("spans"))
+    return often.join(scratch(covered.union(lone)), ["least", "content"]).select("id", F.shiftright("at", _SHIFT).alias("tag"), F.transform("runs", lambda r: F.struct((start + r["first"]).alias("first"), (start + r["last"] + length).alias("last"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
