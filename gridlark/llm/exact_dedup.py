@@ -34,7 +34,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = scratch(docs.select(F.col(id_col).alias("id"), digest.alias("sha")))
     rows = maybe_repeated(digests, "sha", buckets)
     some = rows.where("maybe")
+    # written first, so that the join reads two plain shuffles and Spark can split a hot digest's rows
     groups = some.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    repeated = some.join(groups, "sha").select("id", "keep_id", "group_size", "sha")
+    repeated = some.join(scratch(groups), "sha").select("id", "keep_id", "group_size", "sha")
     alone = rows.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return alone.unionByName(repeated).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
