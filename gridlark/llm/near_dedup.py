@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch(signed.where("n > 0 and id is not null").groupBy("low", "high", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
     member = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    mates = scratch(member.join(shared, "key"))
+    mates = scratch(member.join(scratch(shared), "key"))
     sets = scratch(texts.join(mates.select(F.col("rep").alias("id")).distinct(), "id").mapInArrow(_set_writer(width), f"id {kind}, shingles binary"))
     # first round: each bucket's smallest document against the others, in small buckets more pivots
     pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep", "n")).alias(f"p{k}") for k in range(PIVOTS)]
