@@ -91,3 +91,14 @@ def mark_members(rows: DataFrame, column: str, keys: DataFrame, name: str, bucke
     bucket, bits = slots(F.col(keys.columns[0]), buckets)
     known = keys.select(bucket.alias("bucket"), F.explode(bits).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     return test_slots(rows, column, known, buckets, name)
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose id is not among `ids` (its first column); null ids stay.
+
+    The row is one column meanwhile, so that none of its names can clash; only rows that the filter of mark_members
+    lets through are shuffled."""
+    gone = ids.select(F.col(ids.columns[0]).alias("gone"))
+    marked = mark_members(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc")), "doc", gone, "maybe")
+    kept = marked.where("maybe").join(gone, F.col("doc") == F.col("gone"), "left_anti")
+    return marked.where("not maybe").select("row.*").union(kept.select("row.*"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import mark_members, scratch
+from gridlark.llm.common import mark_members, scratch, without
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units that are taken for slots after a number.
@@ -91,7 +91,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs, all columns, whose document holds no benchmark item."""
-    found = scratch(leaks(docs, benchmark, id_col, **how).select(F.col("id").alias("__leaked")).distinct())
-    marked = mark_members(docs, id_col, found, "__maybe")
-    maybe = marked.where("__maybe").join(found, F.col(id_col) == F.col("__leaked"), "left_anti")
-    return marked.where("not __maybe").unionByName(maybe).drop("__maybe")
+    return without(docs, id_col, scratch(leaks(docs, benchmark, id_col, **how).select("id").distinct()))
