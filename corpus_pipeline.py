@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import mark_members, scratch, table
+from gridlark.llm.common import scratch, table, without
 from gridlark.llm.decontaminate import drop_contaminated
 from gridlark.llm.line_dedup import drop_repeated_lines
 from gridlark.llm.near_dedup import near_duplicates
@@ -31,15 +31,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (5-word shingles, similarity 0.8) keeps the smallest id."""
-    dropped = scratch(near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("dropped")).distinct())
-    marked = mark_members(docs, "doc_id", dropped, "maybe")
-    kept = marked.where("maybe").join(dropped, F.col("doc_id") == F.col("dropped"), "left_anti")
-    return marked.where("not maybe").unionByName(kept).select(docs.columns)
+    dropped = near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
+    return without(docs, "doc_id", scratch(dropped))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item or a re-parameterised one."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -405,7 +405,7 @@ def pool_concat(spark, sf):
     return msa.concat_positions(residue_matrix(spark, sf), [1, 5], "vec_id").select("vec_id", F.posexplode("features").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("select vec_id, cast((i - 1) * 4 + j - 1 as integer) as dim, round(cast(embedding[i] as double) * cast(embedding[60 + j] as double), 6) as x from embeddings, (select unnest(range(1, 5)) as i), (select unnest(range(1, 5)) as j)")
+@query("select vec_id, cast((i - 1) * 4 + j - 1 as integer) as dim, round(cast(embedding[i] as double) * cast(embedding[60 + j] as double), 6) + 0.0::double as x from embeddings, (select unnest(range(1, 5)) as i), (select unnest(range(1, 5)) as j)")
 def outer_product(spark, sf):
     """Flattened outer product of two feature vectors."""
     v = F.col("embedding").cast("array<double>")
