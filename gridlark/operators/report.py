@@ -15,9 +15,9 @@ STAR_CUTS = (1e-4, 1e-3, 1e-2, 5e-2)
 
 def seed_interval(results: DataFrame, by: list[str], seed: str, value: str) -> DataFrame:
     """(by, mean, half): mean of the seeds' means, and 1.96 standard errors over seeds."""
-    m = results.groupBy(*by, seed).agg(F.avg(value).alias("m"))
-    half = 1.96 * F.try_divide(F.stddev_samp("m"), F.sqrt(F.count("m")))
-    return m.groupBy(*by).agg(F.avg("m").alias("mean"), half.alias("half"))
+    m = results.groupBy(*by, seed).agg(F.avg(value).alias("__m"))
+    half = 1.96 * F.try_divide(F.stddev_samp("__m"), F.sqrt(F.count("__m")))
+    return m.groupBy(*by).agg(F.avg("__m").alias("mean"), half.alias("half"))
 
 
 def best_flags(intervals: DataFrame, within: list[str]) -> DataFrame:
