@@ -30,7 +30,7 @@ WIDE = {
     "phone": r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
 }
 WIDE_NEEDS = {"email": r"[\[({]at[\])}]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]|[0-9]\[\.\]", "card": r"[0-9][./_][0-9]", "phone": r"[0-9][)\x20.-]\x20?[0-9]"}
-_BYTE = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Words before a span that speak for personal data, and against.
 FOR = r"(?i)(?:phone|tel|call|mobile|fax|cell|mail|contact|reach|write|card|visa|master|amex|pay|ip|host|addr|from|t[ée]l[ée]fon|correo|handy|rufen)[^\n]{0,16}$"
 AGAINST = r"(?i)(?:order|version|ver|isbn|issn|serial|part|ref|invoice|no|nr|date|id|sku|page|pp|vol|build|doi|score)[^A-Za-z\n]{0,6}$"
