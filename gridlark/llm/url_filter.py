@@ -81,7 +81,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
         named = named.withColumn("bad", (F.col("by_rule") == "block").cast("int"))
     rows = scratch(templates(named))
     leaf = scratch(rows.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")))
-    whole = leaf.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).select(((F.coalesce("b", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("all_bad"))
+    n_all, bad_all = leaf.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     everywhere = leaf.groupBy("template").agg(F.sum("n").alias("tn"), F.sum("b").alias("tb"))
     # branches of a host are siblings if they share the parent; those that don't differ from the parent's share merge
     parent = F.regexp_replace("template", "/[^/]*$", "")
@@ -91,8 +91,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     z = F.abs(F.col("b") - F.col("n") * p) / F.sqrt(F.greatest(F.col("n") * p * (1 - p), F.lit(1e-9)))
     merged = branch.join(family, ["host", "parent"]).withColumn("same", (F.col("n") > 0) & (z <= z_same))
     pool = merged.where("same").groupBy("host", "parent").agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
-    known = merged.join(pool, ["host", "parent"], "left").join(everywhere, "template").crossJoin(F.broadcast(whole))
-    over_all = (F.col("tb") + weight * F.col("all_bad")) / (F.col("tn") + weight)
+    known = merged.join(pool, ["host", "parent"], "left").join(everywhere, "template")
+    over_all = (F.col("tb") + weight * (bad_all + 1) / (n_all + 2)) / (F.col("tn") + weight)
     over_branch = F.when(F.col("same"), (F.col("mb") + weight * over_all) / (F.col("mn") + weight)).otherwise(over_all)
     share = (F.col("b") + weight * over_branch) / (F.col("n") + weight)
     known = known.select("host", "template", (1 - share).alias("purity"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
