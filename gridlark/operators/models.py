@@ -92,8 +92,10 @@ def warmup_rate(step: int, warmup: int, total: int, low: float, high: float, fin
     return high * (final / high) ** ((step - warmup) / max(total - warmup, 1))
 
 
-def train_network(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, hidden: int = 50, layers: int = 3, epochs: int = 5, rate: float = 1e-3, batch: int = 64, dropout: float = 0.1, decay: float = 0.0, regression: bool = False, seed: int = 0, warmup: int = 0) -> Callable[[np.ndarray], np.ndarray]:
-    """A feed-forward network on several tasks, NaN labels left out, by Adam; the epoch of least validation loss is kept."""
+def train_network(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, hidden: int = 50, layers: int = 3, epochs: int = 5, rate: float = 1e-3, batch: int = 64, dropout: float = 0.1, decay: float = 0.0, regression: bool = False, seed: int = 0, warmup: int = 0, history: list | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """A feed-forward network on several tasks, NaN labels left out, by Adam; the epoch of least validation loss is kept.
+
+    A given `history` list gets (epoch, validation loss)."""
     rng = np.random.Generator(np.random.PCG64(seed))
     sizes = [x.shape[1], *([hidden] * layers), y.shape[1]]
     w = [[rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)] for a, b in zip(sizes, sizes[1:], strict=False)]
@@ -120,7 +122,7 @@ def train_network(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray,
         return float(np.mean((z - y) ** 2 if regression else np.logaddexp(0, z) - y * z))
 
     best, kept, steps = None, None, epochs * max(1, -(-len(x) // batch))
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             part = order[at : at + batch]
@@ -140,6 +142,8 @@ def train_network(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray,
                 v[k] = 0.999 * v[k] + 0.001 * d * d
                 p -= lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         now = loss(xv, yv) if len(xv) else loss(x, y)
+        if history is not None:
+            history.append((epoch, now))
         if best is None or now < best:
             best, kept = now, [p.copy() for p in flat]
     for p, k in zip(flat, kept or flat, strict=True):
@@ -202,3 +206,49 @@ def grid(**choices: list) -> list[dict]:
     from itertools import product
 
     return [dict(zip(choices, values, strict=True)) for values in product(*choices.values())]
+
+
+def loss_curve(rows: DataFrame, task: str, epochs: int, **how) -> DataFrame:
+    """(task, epoch, loss): validation loss of each task's network."""
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, seen = np.stack(pdf["features"].to_list()).astype(float), pdf["label"].to_numpy(dtype=float)[:, None], []
+        fit, val = (pdf["role"].to_numpy() == r for r in ("train", "val"))
+        train_network(x[fit], y[fit], x[val], y[val], epochs=epochs, history=seen, **how)
+        return pd.DataFrame({task: [pdf[task].iloc[0]] * len(seen), "epoch": [e for e, _ in seen], "loss": [v for _, v in seen]})
+
+    return rows.select(task, "role", "features", "label").groupBy(task).applyInPandas(run, f"{task} {kind[task]}, epoch int, loss double")
+
+
+def best_epoch(curve: DataFrame, task: str) -> DataFrame:
+    """(task, epoch) of least loss."""
+    return curve.groupBy(task).agg(F.min_by("epoch", F.struct("loss", "epoch")).alias("epoch"))
+
+
+def ensemble(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, pred, spread): mean and population deviation over the members."""
+    return predictions.groupBy(*by).agg(F.avg("pred").alias("pred"), F.stddev_pop("pred").alias("spread"))
+
+
+def tune_linear(folds: list[tuple[DataFrame, DataFrame]], powers: list[int], fit: Callable = ridge) -> dict[int, float]:
+    """Mean squared error over the folds for each penalty 10 ** power; the caller takes the least."""
+    return {p: sum(fit(a, b, 10.0**p).agg(F.avg((F.col("pred") - F.col("label")) ** 2)).first()[0] or 0.0 for a, b in folds) / max(len(folds), 1) for p in powers}
+
+
+def save_model(model, path: str) -> None:
+    """Writes a fitted Spark ML model to a folder that Spark can reach."""
+    model.write().overwrite().save(path)
+
+
+def load_model(kind: type, path: str):
+    return kind.load(path)
+
+
+#: Search spaces: lists are grids, pairs are ranges.
+SEARCH_SPACES = {
+    "knn": {"k": list(range(1, 11))},
+    "linear": {"log_alpha": list(range(-3, 5))},
+    "rf": {"depth": (1, 5), "trees": (1, 1000)},
+    "network": {"dropout": (0.0, 0.2), "decay": (0.0, 0.01), "hidden": list(range(10, 91, 20)), "layers": [1, 2], "rate": (1e-5, 1e-3)},
+}

@@ -138,3 +138,25 @@ def symmetric_minimum(edges: DataFrame, a: str, b: str, value: str) -> DataFrame
     """Least value of each unordered pair, given in both directions."""
     least = edges.where(F.col(a) != F.col(b)).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.min(value).alias(value))
     return least.union(least.select("b", "a", value))
+
+
+def aligned_distance(residues: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, dist): mean Euclidean distance of the residues that two items have in the same alignment columns.
+
+    residues: (name, column, vector), without rows at gaps; pairs: (a, b). Pairs without common columns are left out."""
+    a = residues.select(F.col("name").alias("a"), "column", F.col("vector").alias("x"))
+    b = residues.select(F.col("name").alias("b"), "column", F.col("vector").alias("y"))
+    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    return pairs.join(a, "a").join(b, ["b", "column"]).groupBy("a", "b").agg(F.avg(d).alias("dist"))
+
+
+def soft_pool(targets: DataFrame, references: DataFrame) -> DataFrame:
+    """(key, dim, x): residues of (key, pos, vector) averaged by attention to reference residues (ref, vector).
+
+    For each reference residue the softmax of minus the Manhattan distance over the item's residues weighs them; the
+    pooled vectors of all reference residues are averaged. References are a few residues of one structure."""
+    d = F.aggregate(F.zip_with("vector", "rv", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: s + v)
+    j = targets.join(F.broadcast(references.select("ref", F.col("vector").alias("rv"))), F.lit(True)).withColumn("e", F.exp(-d))
+    j = j.withColumn("w", F.col("e") / F.sum("e").over(Window.partitionBy("key", "ref")))
+    each = j.select("key", "ref", "w", F.posexplode("vector").alias("dim", "x")).groupBy("key", "ref", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return each.groupBy("key", "dim").agg(F.avg("x").alias("x"))

@@ -56,3 +56,24 @@ def kmer_frequencies(rows: DataFrame, key: str, kmers) -> DataFrame:
     """(key, kmer, freq): share of each k-mer of a sequence, given as an array Column."""
     c = rows.select(key, F.explode(kmers).alias("kmer")).groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("c"))
     return c.select(key, "kmer", (F.col("c") / F.sum("c").over(Window.partitionBy(key))).alias("freq"))
+
+
+def select_fitted(features: DataFrame, fit: DataFrame, choose) -> DataFrame:
+    """Rows of the dimensions that `choose` picks on the fitting rows only."""
+    return features.join(choose(fit).select("dim"), "dim", "left_semi")
+
+
+def outer_features(items: DataFrame, a: str, b: str, key: str, fit: str, least_deviation: float = 0.1, n: int = 10) -> DataFrame:
+    """(key, components): outer products of two vectors, first without columns of small deviation on the fitting rows, then projected.
+
+    `fit` is a condition that says which rows are fitted on."""
+    from gridlark.functions.vectors import outer
+
+    def strong(column: str) -> list[int]:
+        # dimensions of a vector, a bounded list
+        s = long_form(items.where(fit), key, column).groupBy("dim").agg(F.stddev_pop("x").alias("d")).where(F.col("d") > least_deviation)
+        return sorted(r["dim"] for r in s.collect())
+
+    pick = lambda column: F.transform(F.array(*map(F.lit, strong(column))), lambda i: F.get(F.col(column), i).cast("double"))
+    crossed = items.select(key, outer(pick(a), pick(b)).alias("__outer"))
+    return pca(crossed, key, "__outer", n)

@@ -650,6 +650,71 @@ def sampler_weights(spark, sf):
     return models.balanced_sampler_weights(a.union(b), "task", "key").select("key", F.round("weight", 8).alias("weight"))
 
 
+@query(MASKED + f""", v as (select sub from (select sub, n, n_pos from ({_VALID.format(t='sub')})) where not ({_SKIP}))
+  select 0 as trial, g.sub, cast(f.seq as varchar) as fold, g.seq, case when g.seq = f.seq then 'test' else 'train' end as role from facts g join v on v.sub = g.sub join facts f on f.sub = g.sub""")
+def single_split(spark, sf):
+    """Leave-one-out of one axis within each valid value of the other."""
+    f = facts(spark, sf)
+    return splits.within_values(f, "sub", "seq", reshape.task_validity(f, "sub"))
+
+
+@query(_RES + """, c as (select vec_id, pos, list(x order by dim) as v from r where (vec_id + pos) % 4 <> 0 group by 1, 2)
+  select a.vec_id as a, b.vec_id as b, round(avg(list_distance(a.v, b.v)), 6) as dist from c a join c b on b.vec_id = a.vec_id + 1 and a.pos = b.pos group by 1, 2""")
+def aligned_distance(spark, sf):
+    """Mean distance of residues in the same alignment columns, each item with the next."""
+    r = residue_matrix(spark, sf).select(F.col("vec_id").alias("name"), F.posexplode("residues").alias("column", "vector")).where("(name + column) % 4 <> 0")
+    ids = table(spark, sf, "embeddings").select("vec_id")
+    pairs = ids.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    return neighbors.aligned_distance(r, pairs).select("a", "b", r6("dist", "dist"))
+
+
+@query(_RES + """, t as (select vec_id, pos, list(x order by dim) as v from r group by 1, 2), f as (select pos as ref, v as rv from t where vec_id = 0 and pos < 3),
+  d as (select vec_id, pos, ref, v, exp(-list_sum(list_transform(list_zip(v, rv), lambda x: abs(x[1] - x[2])))) as e from t, f), w as (select *, e / sum(e) over (partition by vec_id, ref) as w from d),
+  p as (select vec_id, ref, i - 1 as dim, sum(w * v[i]) as x from w, (select unnest(range(1, 9)) as i) group by 1, 2, 3)
+  select vec_id as key, cast(dim as integer) as dim, round(avg(x), 6) as x from p group by 1, 2""")
+def pool_soft(spark, sf):
+    """Residues pooled by attention to the residues of a reference."""
+    m = residue_matrix(spark, sf).select(F.col("vec_id").alias("key"), F.posexplode("residues").alias("pos", "vector"))
+    ref = m.where("key = 0 and pos < 3").select(F.col("pos").alias("ref"), "vector")
+    return neighbors.soft_pool(m, ref).select("key", "dim", r6("x", "x"))
+
+
+@query(_RANKED + """, e as (select kk as member, query, avg(cast(label as double)) as pred from k join embeddings on vec_id = ref, (select unnest([3, 5, 7]) as kk) where r < kk group by 1, 2)
+  select query, round(avg(pred), 6) as pred, round(stddev_pop(pred), 6) as spread from e group by 1""")
+def ensemble(spark, sf):
+    """Mean and deviation over the members of an ensemble."""
+    near = neighbors.distances(*split_embeddings(spark, sf), "l2", k=7)
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ref"), F.col("label").cast("double").alias("label"))
+    members = near.join(labels, "ref").withColumn("member", F.explode(F.array(F.lit(3), F.lit(5), F.lit(7)))).where(F.col("rank") <= F.col("member"))
+    pred = members.groupBy("member", "query").agg(F.avg("label").alias("pred"))
+    return models.ensemble(pred, ["query"]).select("query", r6("pred", "pred"), r6("spread", "spread"))
+
+
+@query()
+def outer_features(spark, sf):
+    """Outer products of two selected feature vectors, projected; variances by axis."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("a"), F.slice("embedding", 17, 16).alias("b"))
+    p = scaling.outer_features(e, "a", "b", "vec_id", "vec_id % 5 <> 0", 0.1, 5)
+    return p.select(F.posexplode("components").alias("axis", "x")).groupBy("axis").agg(F.round(F.var_pop("x"), 8).alias("variance"))
+
+
+@query()
+def loss_curves(spark, sf):
+    """Loss by epoch and the best epoch of each task."""
+    rows = model_rows(spark, sf, _is_three()).withColumn("task", F.lit("three"))
+    curve = models.loss_curve(rows, "task", epochs=4)
+    return curve.join(models.best_epoch(curve, "task").withColumnRenamed("epoch", "best"), "task").withColumn("loss", F.round("loss", 6))
+
+
+@query()
+def tune_ridge(spark, sf):
+    """Penalties of ridge regression by mean squared error on two folds."""
+    rows = model_rows(spark, sf, F.col("label").cast("double"))
+    folds = [(rows.where(F.col("key") % 3 != f), rows.where(F.col("key") % 3 == f)) for f in (0, 1)]
+    scores = models.tune_linear(folds, [-1, 0, 1, 2])
+    return spark.createDataFrame([(p, round(s, 6)) for p, s in scores.items()], "power int, mse double")
+
+
 # --- reports ------------------------------------------------------------------------------------------------------
 
 _RUNS = "with runs as (select p_type as ds, p_brand as method, l_linenumber as seed, l_discount as v from lineitem join part on l_partkey = p_partkey)"
