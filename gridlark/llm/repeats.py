@@ -26,7 +26,7 @@ from gridlark.llm.common import mark_members, scratch, text_blocks
 #: Bytes of the strings whose hashes are compared.
 GRAM = 64
 #: Bytes of text that one transform sorts, about, and the most that the contents of one hash may have in it.
-TRANSFORM = 2 << 20
+TRANSFORM = 1 << 20
 BLOCK = 1 << 20
 _SHIFT = 40
 U64 = np.uint64
