@@ -61,26 +61,36 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> I
             at = end
 
 
-#: Bits of one bitmap of Spark's bitmap functions.
-BITMAP_BITS = 32768
+#: Bits of one row of a Bloom filter of rows, and of the words it is an array of.
+ROW_BITS, WORD_BITS = 32768, 64
 
 
-def slots(key: Column, buckets: int) -> tuple[Column, Column]:
-    """Bucket and bits within it of a key, for Bloom filters of bitmaps."""
+def slots(key: Column, buckets: int) -> tuple[Column, list[Column]]:
+    """Bucket and three bits within it of a key, for Bloom filters of rows."""
     h = F.xxhash64(key)
-    bits = [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(BITMAP_BITS - 1)) for k in (19, 34, 49)]
-    return F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(buckets)), F.array_distinct(F.array(*bits))
+    bits = [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ROW_BITS - 1)).cast("int") for k in (19, 34, 49)]
+    return F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(buckets)), bits
+
+
+def filter_rows(bits: DataFrame) -> DataFrame:
+    """(bucket, words) of (bucket, bit): each row of the filter as an array of 64-bit words.
+
+    Words are combined before the shuffle."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % WORD_BITS)
+    each = bits.groupBy("bucket", F.floor(F.col("bit") / WORD_BITS).cast("int").alias("w")).agg(F.bit_or(one).alias("x"))
+    found = each.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("found"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // WORD_BITS - 1)), lambda w: F.coalesce(F.try_element_at("found", w), F.lit(0).cast("long")))
+    return found.select("bucket", words.alias("words"))
 
 
 def test_slots(rows: DataFrame, column: str, known: DataFrame, buckets: int, name: str) -> DataFrame:
-    """Adds the boolean `name`: whether all bits of the column's key are set in `known` (bucket, bitmap).
+    """Adds the boolean `name`: whether all bits of the column's key are set in `known` (bucket, words).
 
     `known` has at most `buckets` rows of 4 KiB, so it may be broadcast at any input size."""
     bucket, bits = slots(F.col(column), buckets)
-    byte = lambda bit: F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    is_set = lambda bit: F.pmod(F.floor(byte(bit) / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
-    rows = rows.withColumns({"bucket": bucket, "bits": bits}).join(F.broadcast(known), "bucket", "left")
-    return rows.withColumn(name, F.col("bitmap").isNotNull() & F.forall("bits", is_set)).drop("bucket", "bits", "bitmap")
+    is_set = lambda bit: F.call_function("shiftright", F.get("words", F.floor(bit / WORD_BITS).cast("int")), bit % WORD_BITS).bitwiseAND(F.lit(1).cast("long")) == 1
+    rows = rows.withColumn("bucket", bucket).join(F.broadcast(known), "bucket", "left")
+    return rows.withColumn(name, F.coalesce(is_set(bits[0]) & is_set(bits[1]) & is_set(bits[2]), F.lit(False))).drop("bucket", "words")
 
 
 def mark_members(rows: DataFrame, column: str, keys: DataFrame, name: str, buckets: int = 1024) -> DataFrame:
@@ -89,7 +99,7 @@ def mark_members(rows: DataFrame, column: str, keys: DataFrame, name: str, bucke
     A Bloom filter of at most buckets * 4 KiB (4 MiB by default) is broadcast. When it is full, it lets more rows
     pass, and a join after it decides; it only spares the others the shuffle."""
     bucket, bits = slots(F.col(keys.columns[0]), buckets)
-    known = keys.select(bucket.alias("bucket"), F.explode(bits).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    known = filter_rows(keys.select(bucket.alias("bucket"), F.explode(F.array(*bits)).alias("bit")))
     return test_slots(rows, column, known, buckets, name)
 
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import ascii_lower, scratch, slots, test_slots
+from gridlark.llm.common import ascii_lower, filter_rows, scratch, slots, test_slots
 
 def repeat_filter(digests: DataFrame, column: str, buckets: int) -> DataFrame:
-    """First pass: (bucket, bitmap) with a bit for each slot that two or more rows hit.
+    """First pass: (bucket, words) with a bit for each slot that two or more rows hit.
 
-    Slots are counted with map-side combination. At most `buckets` bitmaps of 4 KiB come out, whatever the input."""
+    Slots are counted with map-side combination. At most `buckets` rows of 4 KiB come out, whatever the input."""
     bucket, bits = slots(F.col(column), buckets)
-    counted = digests.select(bucket.alias("bucket"), F.explode(bits).alias("bit")).groupBy("bucket", "bit").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where("n > 1").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    hits = digests.select(bucket.alias("bucket"), F.explode(F.array_distinct(F.array(*bits))).alias("bit"))
+    return filter_rows(hits.groupBy("bucket", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "bit"))
 
 
 def maybe_repeated(digests: DataFrame, column: str, buckets: int = 1024) -> DataFrame:
