@@ -73,6 +73,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, max_words: int = 409
     number[chosen] = np.arange(len(chosen))
     use = number[column] >= 0
     col, row = number[column[use]], owner[use]
+    del flat, owner, column, number, use
     w, gaps = np.zeros(len(chosen)), np.zeros(n_grades)  # thresholds: first, then logs of gaps
     share = np.array([(grades > k).mean() for k in range(n_grades)]).clip(1e-6, 1 - 1e-6)
     first = np.log((1 - share) / share)
@@ -126,7 +127,10 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Ordina
     some = labels.orderBy(F.xxhash64("id"), "id", "grade").limit(max_rows)
     found = docs.join(F.broadcast(some), "id").select("grade", "text").mapInArrow(_features, "grade int, words array<long>").toArrow()
     rows = [np.asarray(r.values.to_numpy()).view(np.uint64) for r in found.column("words")]
-    return fit_ordinal(rows, found.column("grade").to_numpy().astype(np.int64))
+    model = fit_ordinal(rows, found.column("grade").to_numpy().astype(np.int64))
+    del rows, found
+    pa.default_memory_pool().release_unused()  # the sample's memory goes back before the next stage
+    return model
 
 
 def score_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, reject_at: float = 0.5) -> DataFrame:
