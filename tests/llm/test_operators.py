@@ -221,6 +221,21 @@ def test_line_dedup(docs, none, texts):
     assert line_dedup.drop_repeated_lines(none).count() == 0
 
 
+def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch):
+    # lines with a common half in one bucket: pairs of copies that resemble neither of the bucket's ends are found
+    monkeypatch.setattr(line_dedup, "PIVOTS", 2, raising=False)
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, lines = letters(150), []
+    for _ in range(12):
+        own = letters(90)
+        lines += [common + own, common + own + letters(10)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "signatures", lambda found, width, n: found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), *(F.lit(0).alias(f"s{j}") for j in range(n))))
+    found = {(x.id, x.keep_id) for x in line_dedup.repeated_lines(df).collect()}
+    assert found == {(k + 1, k) for k in range(0, len(lines), 2)}
+
+
 def test_decontamination(spark, docs, none):
     items = [" ".join(words(40, 5000)), "Alice bought 12 kg of fine apples, and Maria paid 40 dollars for the same 12 kg in the old market of town"]
     bench = spark.createDataFrame([(0, items[0]), (1, items[1]), (2, None), (3, "too short")], "item_id long, text string")
