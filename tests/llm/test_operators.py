@@ -236,6 +236,15 @@ def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch):
     assert found == {(k + 1, k) for k in range(0, len(lines), 2)}
 
 
+def test_line_dedup_finds_pairs_at_the_threshold(spark):
+    # 1000 pairs of similarity 81/101
+    r = random.Random(6)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = [x for own in (letters(90) for _ in range(1000)) for x in (own, own + letters(20))]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {(x.id, x.keep_id) for x in line_dedup.repeated_lines(df).collect()} == {(k + 1, k) for k in range(0, len(lines), 2)}
+
+
 def test_decontamination(spark, docs, none):
     items = [" ".join(words(40, 5000)), "Alice bought 12 kg of fine apples, and Maria paid 40 dollars for the same 12 kg in the old market of town"]
     bench = spark.createDataFrame([(0, items[0]), (1, items[1]), (2, None), (3, "too short")], "item_id long, text string")
