@@ -172,10 +172,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     mates = scratch(member.join(scratch(shared), "key"))
     sets = scratch(texts.join(mates.select(F.col("rep").alias("id")).distinct(), "id").mapInArrow(_set_writer(width), f"id {kind}, shingles binary"))
-    # first round: each bucket's smallest document against the others, in small buckets more pivots
+    # first round: each bucket's smallest document against the others, in small buckets more pivots, in the smallest all
     pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep", "n")).alias(f"p{k}") for k in range(PIVOTS)]
-    chosen = mates.groupBy("key", "m").agg(*pivots).select("key", F.explode(F.array_distinct(F.transform(F.when(F.col("m") > MANY, F.array("p0")).otherwise(F.array(*(f"p{k}" for k in range(PIVOTS)))), lambda p: F.struct(p.rep.alias("b"), p.n.alias("nb"))))).alias("p"))
-    edges = scratch(_confirm(mates.join(chosen.select("key", "p.b", "p.nb"), "key"), sets, percent, kind))
+    chosen = mates.where(F.col("m") > PIVOTS).groupBy("key", "m").agg(*pivots).select("key", F.explode(F.array_distinct(F.transform(F.when(F.col("m") > MANY, F.array("p0")).otherwise(F.array(*(f"p{k}" for k in range(PIVOTS)))), lambda p: F.struct(p.rep.alias("b"), p.n.alias("nb"))))).alias("p"))
+    chosen = chosen.select("key", "p.b", "p.nb").union(mates.where(F.col("m") <= PIVOTS).select("key", F.col("rep").alias("b"), F.col("n").alias("nb")))
+    edges = scratch(_confirm(mates.join(chosen, "key"), sets, percent, kind))
     comps = components(edges)
     # then, within buckets whose documents aren't one component yet, all documents outside the largest
     now = mates.join(comps, mates.rep == comps.id, "left").select("key", "rep", "n", "m", F.coalesce("comp", "rep").alias("comp"))

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,26 @@ def test_near_dedup(docs, texts, monkeypatch, width, gathered):
     assert counted(near_dedup.near_duplicates(docs, width=width).collect()) == brute_near(texts, width, 80)
 
 
+def test_near_dedup_where_pivots_coincide(spark):
+    # buckets of three whose pivots all fall on the smallest id, which resembles the other two less than they each other
+    triples = spark.range(3000).where(" and ".join(f"xxhash64(id * 3, {p}) < least(xxhash64(id * 3 + 1, {p}), xxhash64(id * 3 + 2, {p}))" for p in range(1, near_dedup.PIVOTS)))
+    firsts, rows, pairs = [3 * x.id for x in triples.limit(40).collect()], [], set()
+    sign = near_dedup._signer(2, 1, 1)
+    for first in firsts:
+        base = [f"w{first}x{k}" for k in range(60)]
+        group = [base[:], base[:], base[:59] + ["z"]]
+        for k in (10, 20, 30, 40):
+            group[0][k] += "y"
+        texts = [" ".join(g) for g in group]
+        keys = next(sign(iter([pa.record_batch({"id": pa.array([0, 1, 2]), "text": pa.array(texts)})]))).column("keys").to_pylist()
+        if keys[0] == keys[1] == keys[2]:
+            rows += [(first + k, t) for k, t in enumerate(texts)]
+            pairs.add((first + 2, first + 1))
+    assert len(pairs) > 10
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2, bands=1, rows_per_band=1)
+    assert {(x.doc_id, x.component_id) for x in found.where("not kept").collect()} == pairs
+
+
 def test_near_dedup_of_nothing(none):
     assert near_dedup.near_duplicates(none, width=2).count() == 0
 
