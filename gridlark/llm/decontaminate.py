@@ -14,6 +14,8 @@ from gridlark.llm.common import mark_members, scratch, without
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units that are taken for slots after a number.
 UNITS = "kg g mg km m cm mm mi ft in lb lbs oz l ml s sec secs min mins h hr hrs hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent percent usd eur gbp mph kph kmh meters meter metres metre kilometers kilometres miles mile feet foot inches inch pounds pound grams gram kilograms liters litres liter litre degrees degree watts watt volts volt"
+#: Words that are no names where they stand capitalised, as at the start of a sentence.
+NO_NAMES = "The A An This That These Those He She It They We You His Her Its Their My Our Your If How What When Where Which Who Why In On At For From To Of And But Or So As By With After Before Then There Each Every Some All No Is Are Was Were Do Does Did Can"
 #: Windows of benchmark items that may be broadcast (16 bytes each); above, the join shuffles.
 MOST_BROADCAST = 1 << 21
 
@@ -21,7 +23,7 @@ MOST_BROADCAST = 1 << 21
 def template_words(text: Column) -> Column:
     """Words of the template: placeholders for slots, the rest in lower case without punctuation."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{E000}-\x{E002}]", "")
-    text = F.regexp_replace(text, r"(?<=[\p{L},;)] )\p{Lu}\p{Ll}+", NAME)
+    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?!(?:{NO_NAMES.replace(' ', '|')})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+", NAME)
     text = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, r"[0-9](?:[0-9]|[.,:/](?=[0-9]))*+", NUMBER), rf"(?i)(?<={NUMBER} )(?:{UNITS.replace(' ', '|')})\b", UNIT)).otherwise(text)
     return _words(F.regexp_replace(text, r"[^\p{L}\p{N}\s\x{E000}-\x{E002}]+", ""))
 

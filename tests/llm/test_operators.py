@@ -286,6 +286,13 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.drop_contaminated(docs, bench.where("false")).count() == docs.count()
 
 
+def test_decontamination_of_names_at_the_start_of_sentences(spark):
+    item = "Maria has a large basket with many red apples in it. Maria buys some more of them every week:\n\"Maria gives three of them away\" to a good friend who lives next door"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(0, item.replace("Maria", "Tom")), (1, item.replace("Maria", "Tom", 1))], "doc_id long, text string")
+    assert {(r.id, r.n_changed) for r in decontaminate.leaks(df, bench).collect() if r.id == 0} == {(0, 1)}
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
