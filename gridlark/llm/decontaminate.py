@@ -38,11 +38,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def windows(words: Column, width: int, step: Column | int = 1) -> Column:
-    """Hashes of all windows of `width` words that start at multiples of `step`."""
-    step = F.lit(step) if isinstance(step, int) else step
+def windows(words: Column, width: int, salt: str | None = None) -> Column:
+    """Hashes of all windows of `width` words."""
+    more = [] if salt is None else [F.lit(salt)]
     last = F.size(words) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, step), lambda i: F.xxhash64(F.slice(words, i + 1, width)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*more, F.slice(words, i + 1, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 5, share: float = 0.8) -> DataFrame:
@@ -50,20 +50,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     An item is held if `share` or more of its windows of `width` words are in the document, or of its template's
     windows if no slot value of the item stands for two different values in the document. Items under `width` words
-    and null ids, items or texts match nothing. Of documents, windows at multiples of a step are looked up: an item
-    run of width + step - 1 words holds one for sure; the step is `width`, or less where an item is too short for it."""
+    and null ids, items or texts match nothing. All windows of documents are looked up, of templates and of the words
+    themselves; pairs with fewer common windows than either share asks for are not compared."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), template_words(F.col("text")).alias("it"), plain_words(F.col("text")).alias("ip"))
     items = scratch(scratch(items).withColumns({"iw": windows(F.col("it"), width), "ipw": windows(F.col("ip"), width)}).where(F.size("iw") > 0))
-    shortest, n_windows = items.agg(F.min(F.size("iw")), F.sum(F.size("iw"))).first()
-    step = max(1, min(width, shortest or 1))
-    lookup = items.select("item_id", F.explode(F.array_distinct("iw")).alias("h"))
-    if (n_windows or 0) <= MOST_BROADCAST:
-        lookup = F.broadcast(lookup)
+    n_windows = items.agg(F.sum(F.size("iw"))).first()[0]
+    # both kinds of windows; a share asks for so many different ones
+    sides = [items.select("item_id", F.array_distinct(windows(F.col(w), width, w)).alias("w")) for w in ("it", "ip")]
+    lookup = sides[0].withColumn("kind", F.lit(0)).union(sides[1].withColumn("kind", F.lit(1)))
+    lookup = lookup.select("item_id", "kind", (F.size("w") * F.lit(share) - 1e-6).alias("least"), F.explode("w").alias("h"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # words are a column of their own, so that they are made once a text and not once a window
-    words = texts.select("id", template_words(F.col("text")).alias("words"))
-    seen = words.select("id", F.explode(windows(F.col("words"), width, step)).alias("h")).join(lookup, "h").select("id", "item_id")
-    pairs = scratch(seen.distinct())
+    # words are columns of their own, so that they are made once a text and not once a window
+    words = texts.select("id", template_words(F.col("text")).alias("it"), plain_words(F.col("text")).alias("ip"))
+    seen = words.select("id", F.explode(F.array_distinct(F.concat(windows(F.col("it"), width, "it"), windows(F.col("ip"), width, "ip")))).alias("h"))
+    if 2 * (n_windows or 0) <= MOST_BROADCAST:
+        lookup = F.broadcast(lookup)
+    else:
+        seen = mark_members(seen, "h", lookup.select("h"), "maybe").where("maybe").select("id", "h")
+    common = seen.join(lookup, "h").groupBy("id", "item_id", "kind").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least"))
+    pairs = scratch(common.where("c >= least").select("id", "item_id").distinct())
     some = mark_members(texts, "id", pairs.select("id"), "wanted").where("wanted").join(pairs.select("id").distinct(), "id", "left_semi")
     some = some.select("id", template_words(F.col("text")).alias("dt"), plain_words(F.col("text")).alias("dp"))
     some = some.withColumns({"dw": windows(F.col("dt"), width), "dpw": windows(F.col("dp"), width)})

@@ -293,6 +293,17 @@ def test_decontamination_of_names_at_the_start_of_sentences(spark):
     assert {(r.id, r.n_changed) for r in decontaminate.leaks(df, bench).collect() if r.id == 0} == {(0, 1)}
 
 
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_decontamination_looks_up_all_windows(spark, monkeypatch, most):
+    # a lower-cased copy of a title shares no template window; nine words with the last one changed share four windows of five
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    title, short = " ".join(w.capitalize() for w in words(20, 1) if len(w) > 2), " ".join(words(9, 2))
+    bench = spark.createDataFrame([(1, title), (2, short)], "item_id long, text string")
+    docs = [(0, title.lower())] + [(1 + k, " ".join([*words(k, 50 + k), *short.split()[:-1], "other"])) for k in range(10)]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {(r.id, r.item_id) for r in found.collect()} == {(0, 1)} | {(1 + k, 2) for k in range(10)}
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
