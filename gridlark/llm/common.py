@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, as in tests, one is set."""
+    """The folder that driver and executors share. Where a local session names none, as in tests, one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="gridlark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -33,7 +35,16 @@ def scratch(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of scratch() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -86,20 +97,30 @@ def filter_rows(bits: DataFrame) -> DataFrame:
 def test_slots(rows: DataFrame, column: str, known: DataFrame, buckets: int, name: str) -> DataFrame:
     """Adds the boolean `name`: whether all bits of the column's key are set in `known` (bucket, words).
 
-    `known` has at most `buckets` rows of 4 KiB, so it may be broadcast at any input size."""
+    `known` has at most `buckets` rows of 4 KiB and `buckets` is at most MOST_ROWS, so it may be broadcast."""
     bucket, bits = slots(F.col(column), buckets)
     is_set = lambda bit: F.call_function("shiftright", F.get("words", F.floor(bit / WORD_BITS).cast("int")), bit % WORD_BITS).bitwiseAND(F.lit(1).cast("long")) == 1
     rows = rows.withColumn("bucket", bucket).join(F.broadcast(known), "bucket", "left")
     return rows.withColumn(name, F.coalesce(is_set(bits[0]) & is_set(bits[1]) & is_set(bits[2]), F.lit(False))).drop("bucket", "words")
 
 
-def mark_members(rows: DataFrame, column: str, keys: DataFrame, name: str, buckets: int = 1024) -> DataFrame:
-    """Adds the boolean `name`: false only for rows whose column is not among `keys` (its first column).
+#: Bits of a filter for each key, and most rows of a filter (16 MiB in all).
+KEY_BITS, MOST_ROWS = 16, 4096
+
+
+def filter_size(n: int) -> int:
+    """Rows of a filter for n keys, up to MOST_ROWS; a filter of more keys lets more rows pass."""
+    return max(16, min(MOST_ROWS, -(-n * KEY_BITS // ROW_BITS)))
+
+
+def mark_members(rows: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """Adds the boolean `name`: false only for rows whose column is not among `keys` (a table; its first column).
 
-    A Bloom filter of at most buckets * 4 KiB (4 MiB by default) is broadcast. When it is full, it lets more rows
+    The Bloom filter grows with the keys up to 16 MiB, is written once and broadcast. When it is full, it lets more rows
     pass, and a join after it decides; it only spares the others the shuffle."""
+    buckets = filter_size(keys.count())
     bucket, bits = slots(F.col(keys.columns[0]), buckets)
-    known = filter_rows(keys.select(bucket.alias("bucket"), F.explode(F.array(*bits)).alias("bit")))
+    known = scratch(filter_rows(keys.select(bucket.alias("bucket"), F.explode(F.array(*bits)).alias("bit"))))
     return test_slots(rows, column, known, buckets, name)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import scratch
+from gridlark.llm.common import discard, scratch
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,8 +20,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = links.join(labels, links.dst == labels.id).groupBy("src").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels.id == near.src).select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        labels = scratch(step.join(up, "comp", "left").select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "was"))
-        moved = labels.where("comp <> was").limit(1).count()
-        labels = labels.select("id", "comp")
-        if not moved:
-            return labels
+        after = scratch(step.join(up, "comp", "left").select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "was"))
+        discard(labels)
+        labels = after
+        if not labels.where("comp <> was").limit(1).count():
+            discard(links)
+            return labels.select("id", "comp")

@@ -1,9 +1,7 @@
 """Near-duplicate documents by min-max hashing, with links confirmed on the whole shingle sets.
 
 Every permutation gives two signature values, its minimum and its maximum, so that hashing costs half. Bands of
-signature values propose buckets. All members of a bucket are compared with a few pivots first; then those outside its
-largest component are compared with all others, by an inverted index of the bucket, or in rounds if it is too large for
-a task. So no link that joins components of a bucket is left out, without all its pairs being made."""
+signature values propose buckets, whose members are compared as in gridlark.llm.links."""
 
 from __future__ import annotations
 
@@ -15,15 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import kernel
-from gridlark.llm.common import scratch, text_blocks
-from gridlark.llm.graph import components
+from gridlark.llm.common import mark_members, scratch, text_blocks
+from gridlark.llm.links import shared_buckets, similar_components
 
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
-#: Pivots of a bucket in the first round, and above how many members it has one only.
-PIVOTS, MANY = 4, 64
-#: Bytes of shingle sets of one bucket that a task compares; larger buckets are compared in rounds.
-GATHERED = 16 << 20
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,86 +69,11 @@ def _signer(width: int, bands: int, rows_per_band: int) -> Callable[[Iterator[pa
 def _set_writer(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _blocks(batches, width):
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["rep", "payload"])
 
     return write
 
 
-def _verifier(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return verify
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Links (a, b) among pairs (rep, n) and (b, nb), confirmed on whole sets."""
-    pairs = pairs.where(f"rep <> b and 100 * least(n, nb) >= {percent} * greatest(n, nb)").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    with_sets = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return with_sets.mapInArrow(_verifier(percent), f"a {kind}, b {kind}")
-
-
-def _bucket_links(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Links that join the components of one bucket, by an inverted index of its shingles."""
-
-    def run(table: pa.Table) -> pa.Table:
-        reps = table.column("rep").to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles").combine_chunks()]
-        sizes = np.array([len(s) for s in sets])
-        _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(shingle, kind="stable")]
-        begins = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        _, group = np.unique(table.column("comp").to_numpy(), return_inverse=True)
-        counts = np.bincount(group)
-        links, main = [], int(counts.argmax())
-        # once all documents outside one component have been compared with all, nothing is missed
-        for p in np.lexsort((np.arange(len(sets)), counts[group])):
-            if group[p] == main:
-                continue
-            mine = shingle[offsets[p] : offsets[p + 1]]
-            low, n = begins[mine], begins[mine + 1] - begins[mine]
-            at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-            both = np.bincount(owner[at], minlength=len(sets))
-            linked = 100 * both >= percent * (sizes + sizes[p] - both)
-            for q in np.unique(group[linked & (group != group[p])]):
-                links.append((reps[p], reps[int(np.flatnonzero(linked & (group == q))[0])]))
-                main = int(group[p]) if q == main else main
-                group[group == q] = group[p]
-        kind = table.schema.field("rep").type
-        return pa.table({"a": pa.array([x for x, _ in links], type=kind), "b": pa.array([y for _, y in links], type=kind)})
-
-    return run
-
-
-def _pivot_rounds(mates: DataFrame, sets: DataFrame, edges: DataFrame, comps: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Components after all that buckets too large for one task still have to tell, by pivots in rounds.
-
-    A round compares pivots, outside each bucket's largest component, with all its other members; it ends when every
-    such member has been a pivot or joined."""
-    done = mates.sparkSession.createDataFrame([], f"key long, rep {kind}")
-    each = PIVOTS
-    while True:
-        now = mates.join(comps, mates.rep == comps.id, "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        per = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("n_comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        now = scratch(now.join(per.where("n_comps > 1").select("key", "main"), "key"))
-        left = now.where("comp <> main").join(done, ["key", "rep"], "left_anti")
-        choice = [F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep", "n", "comp")).alias(f"p{k}") for k in range(each)]
-        chosen = scratch(left.groupBy("key").agg(*choice).select("key", F.explode(F.array_distinct(F.transform(F.array(*(f"p{k}" for k in range(each))), lambda p: F.struct(p.rep.alias("b"), p.n.alias("nb"), p.comp.alias("cb"))))).alias("p")).select("key", "p.b", "p.nb", "p.cb"))
-        if chosen.limit(1).count() == 0:
-            return comps
-        edges = scratch(edges.union(_confirm(now.join(chosen, "key").where("comp <> cb"), sets, percent, kind)))
-        comps = components(edges)
-        done = scratch(done.union(chosen.select("key", F.col("b").alias("rep"))))
-        each = min(2 * each, 64)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 20, rows_per_band: int = 4) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -168,28 +87,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch(texts.mapInArrow(_signer(width, bands, rows_per_band), f"id {kind}, n long, low long, high long, keys array<long>"))
     # equal sets are one class, combined before the shuffle
     classes = scratch(signed.where("n > 0 and id is not null").groupBy("low", "high", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
-    member = classes.select("rep", "n", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    mates = scratch(member.join(scratch(shared), "key"))
-    sets = scratch(texts.join(mates.select(F.col("rep").alias("id")).distinct(), "id").mapInArrow(_set_writer(width), f"id {kind}, shingles binary"))
-    # first round: each bucket's smallest document against the others, in small buckets more pivots, in the smallest all
-    pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep", "n")).alias(f"p{k}") for k in range(PIVOTS)]
-    chosen = mates.where(F.col("m") > PIVOTS).groupBy("key", "m").agg(*pivots).select("key", F.explode(F.array_distinct(F.transform(F.when(F.col("m") > MANY, F.array("p0")).otherwise(F.array(*(f"p{k}" for k in range(PIVOTS)))), lambda p: F.struct(p.rep.alias("b"), p.n.alias("nb"))))).alias("p"))
-    chosen = chosen.select("key", "p.b", "p.nb").union(mates.where(F.col("m") <= PIVOTS).select("key", F.col("rep").alias("b"), F.col("n").alias("nb")))
-    edges = scratch(_confirm(mates.join(chosen, "key"), sets, percent, kind))
-    comps = components(edges)
-    # then, within buckets whose documents aren't one component yet, all documents outside the largest
-    now = mates.join(comps, mates.rep == comps.id, "left").select("key", "rep", "n", "m", F.coalesce("comp", "rep").alias("comp"))
-    per = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("n_comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("size").alias("size"))
-    per = per.where("n_comps > 1").select("key", "main", "size")
-    now = scratch(now.where(F.col("m") > PIVOTS).join(per, "key"))
-    here = now.where(F.col("size") <= GATHERED // 8).join(sets, now.rep == sets.id).select("key", "rep", "comp", "shingles")
-    more = here.groupBy("key").applyInArrow(_bucket_links(percent), f"a {kind}, b {kind}")
-    edges = scratch(edges.union(more))
-    comps = components(edges)
-    big = now.where(F.col("size") > GATHERED // 8)
-    if big.limit(1).count():
-        comps = _pivot_rounds(big.drop("comp", "main", "size"), sets, edges, comps, percent, kind)
+    mates = shared_buckets(classes)
+    wanted = scratch(mates.select("rep").distinct())
+    some = mark_members(texts, "id", wanted, "wanted").where("wanted").join(wanted, F.col("id") == F.col("rep"), "left_semi")
+    sets = scratch(some.mapInArrow(_set_writer(width), f"rep {kind}, payload binary"))
+    comps = similar_components(mates, sets, percent)
     named = classes.join(comps, classes.rep == comps.id, "left").select("low", "high", "n", F.coalesce("comp", "rep").alias("component"))
     linked = signed.select("id", "n", "low", "high").join(named, ["low", "high", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.llm import decontaminate, kernel, language_model, line_dedup, near_dedup, packing, pii, repeats, toxicity, url_filter
+from gridlark.llm import decontaminate, kernel, language_model, line_dedup, links, near_dedup, packing, pii, repeats, toxicity, url_filter
 from gridlark.llm.common import without
 from gridlark.llm.exact_dedup import exact_dedup
 from gridlark.llm.graph import components
@@ -109,14 +110,14 @@ def brute_near(texts, width, percent):
 
 @pytest.mark.parametrize(("width", "gathered"), [(2, 16 << 20), (2, 100), (5, 16 << 20)])
 def test_near_dedup(docs, texts, monkeypatch, width, gathered):
-    monkeypatch.setattr(near_dedup, "GATHERED", gathered)
-    monkeypatch.setattr(near_dedup, "MANY", 8)
+    monkeypatch.setattr(links, "GATHERED", gathered)
+    monkeypatch.setattr(links, "MANY", 8)
     assert counted(near_dedup.near_duplicates(docs, width=width).collect()) == brute_near(texts, width, 80)
 
 
 def test_near_dedup_where_pivots_coincide(spark):
     # buckets of three whose pivots all fall on the smallest id, which resembles the other two less than they each other
-    triples = spark.range(3000).where(" and ".join(f"xxhash64(id * 3, {p}) < least(xxhash64(id * 3 + 1, {p}), xxhash64(id * 3 + 2, {p}))" for p in range(1, near_dedup.PIVOTS)))
+    triples = spark.range(3000).where(" and ".join(f"xxhash64(id * 3, {p}) < least(xxhash64(id * 3 + 1, {p}), xxhash64(id * 3 + 2, {p}))" for p in range(1, links.PIVOTS)))
     firsts, rows, pairs = [3 * x.id for x in triples.limit(40).collect()], [], set()
     sign = near_dedup._signer(2, 1, 1)
     for first in firsts:
@@ -242,9 +243,10 @@ def test_line_dedup(docs, none, texts):
     assert line_dedup.drop_repeated_lines(none).count() == 0
 
 
-def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch):
-    # lines with a common half in one bucket: pairs of copies that resemble neither of the bucket's ends are found
-    monkeypatch.setattr(line_dedup, "PIVOTS", 2, raising=False)
+@pytest.mark.parametrize("gathered", [16 << 20, 100])
+def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch, gathered):
+    # lines with a common half in one bucket: pairs of copies that resemble neither of the bucket's pivots are found
+    monkeypatch.setattr(links, "GATHERED", gathered)
     r = random.Random(5)
     letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     common, lines = letters(150), []
@@ -252,11 +254,59 @@ def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch):
         own = letters(90)
         lines += [common + own, common + own + letters(10)]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    monkeypatch.setattr(line_dedup, "signatures", lambda found, width, n: found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), *(F.lit(0).alias(f"s{j}") for j in range(n))))
+    monkeypatch.setattr(line_dedup, "minima", lambda hashes, begins, ends, n: np.zeros((n, len(begins)), dtype=np.uint32))
     found = {(x.id, x.keep_id) for x in line_dedup.repeated_lines(df).collect()}
     assert found == {(k + 1, k) for k in range(0, len(lines), 2)}
 
 
+def test_line_dedup_of_templated_lines(spark):
+    # lines of one template with a similarity of 0.5 to 0.7; 300 pairs of them at 0.88
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, lines = letters(110), []
+    for _ in range(300):
+        own = letters(60)
+        lines += [common + own, common + own + letters(20)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {(x.id, x.keep_id) for x in line_dedup.repeated_lines(df).collect()} == {(k + 1, k) for k in range(0, len(lines), 2)}
+
+
+@pytest.mark.parametrize("percent", [80, 50, 100])
+def test_joining_links(percent):
+    # against all pairs: the same components, without comparing sets that share only what all share
+    rng = np.random.default_rng(percent)
+    sets = [np.unique(np.concatenate([[1, 2], rng.integers(3, 40, rng.integers(0, 9))])).astype(np.uint64) for _ in range(200)]
+    sets += [sets[k][:-1] for k in range(0, 200, 3)] + [np.zeros(0, dtype=np.uint64)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+
+    def components_of(edges):
+        parent = list(range(len(sets)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        return [find(x) for x in range(len(sets))]
+
+    counts = np.array([len(s) for s in sets])
+    got = links.joining_links(np.concatenate(sets), counts, np.arange(len(sets)), percent)
+    assert set(map(lambda e: (max(e), min(e)), got)) <= set(pairs)
+    assert components_of(got) == components_of(pairs)
+
+
+def test_joining_links_of_a_common_hash():
+    # 40,000 sets that share one hash only: a second or so, since it is in no rare part
+    n = 40_000
+    hashes = np.concatenate([np.array([0, *(5 * k + j for j in range(1, 5))], dtype=np.uint64) for k in range(n)])
+    began = time.perf_counter()
+    assert links.joining_links(hashes, np.full(n, 5), np.arange(n), 80) == []
+    assert time.perf_counter() - began < 10
+
+
 def test_line_dedup_finds_pairs_at_the_threshold(spark):
     # 1000 pairs of similarity 81/101
     r = random.Random(6)
