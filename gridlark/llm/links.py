@@ -14,14 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.llm import kernel
 from gridlark.llm.common import discard, mark_members, scratch
 from gridlark.llm.graph import components
 
 U64 = np.uint64
 #: Pivots of a bucket in the first round, and above how many members it has one only.
 PIVOTS, MANY = 4, 64
-#: Bytes of sets of one bucket that a task compares; larger buckets are compared in rounds.
-GATHERED = 16 << 20
+#: Bytes of sets that a task compares at once; larger buckets are compared in rounds.
+GATHERED = 8 << 20
 #: Pairs, and bytes of both their payloads, that are compared at once; a pair is never cut.
 _PAIRS, _BYTES = 4096, 4 << 20
 
@@ -74,61 +75,123 @@ def _confirm(pairs: DataFrame, payloads: DataFrame, percent: int, flat_of: FlatO
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb").mapInArrow(_verifier(percent, flat_of), f"a {kind}, b {kind}")
 
 
-def joining_links(hashes: np.ndarray, counts: np.ndarray, group: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the groups of the sets of one bucket.
-
-    Sets of that similarity share one of the rarest hashes of each: the first n - ceil(share * n) + 1 by frequency in
-    the bucket. Only sets found that way are counted in full, so hashes that all members share cost nothing."""
-    _, item = np.unique(hashes, return_inverse=True)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    # each set once by itself, its items from the rarest to the most frequent
-    new = np.lexsort((item, owner))
-    keep = np.concatenate([[True], (item[new][1:] != item[new][:-1]) | (owner[new][1:] != owner[new][:-1])])
-    item, owner = item[new][keep], owner[new][keep]
-    df = np.bincount(item)
-    order = np.lexsort((item, df[item], owner))
-    item = item[order]
-    sizes = np.bincount(owner, minlength=len(counts))
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
-    place = np.arange(len(item)) - np.repeat(offsets[:-1], sizes)
-    rare = np.flatnonzero(place < np.repeat(first, sizes))
-    rare = rare[np.argsort(item[rare], kind="stable")]
-    holder, begins = owner[rare], np.searchsorted(item[rare], np.arange(len(df) + 1))
+class _Sets:
+    """Sets of items, each from its rarest to its most frequent item, and who holds an item among its rare ones.
+
+    Sets of that similarity share one of the rarest items of each: the first n - ceil(share * n) + 1 by frequency. Only
+    sets found that way are compared in full, so items that all sets share cost nothing."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, percent: int):
+        self.percent = percent
+        _, item = np.unique(hashes, return_inverse=True)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        new = np.lexsort((item, owner))
+        item, owner = item[new], owner[new]
+        keep = np.ones(len(item), dtype=bool)
+        keep[1:] = (item[1:] != item[:-1]) | (owner[1:] != owner[:-1])
+        item, owner = item[keep], owner[keep]
+        df = np.bincount(item)
+        self.item = item[np.lexsort((item, df[item], owner))]
+        self.sizes = np.bincount(owner, minlength=len(counts))
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.first = np.where(self.sizes > 0, self.sizes - -(-percent * self.sizes // 100) + 1, 0)
+        place = np.arange(len(item)) - np.repeat(self.offsets[:-1], self.sizes)
+        rare = np.flatnonzero(place < np.repeat(self.first, self.sizes))
+        rare = rare[np.argsort(self.item[rare], kind="stable")]
+        self.holder, self.begins = owner[rare], np.searchsorted(self.item[rare], np.arange(len(df) + 1))
+
+    def fit(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether sizes allow that similarity."""
+        a, b = self.sizes[p], self.sizes[q]
+        return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+
+    def items_of(self, rows: np.ndarray) -> np.ndarray:
+        n = self.sizes[rows]
+        return self.item[np.arange(n.sum()) + np.repeat(self.offsets[rows] - (np.cumsum(n) - n), n)]
+
+    def similar(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether pairs are similar, counted in full."""
+        out = np.zeros(len(p), dtype=bool)
+        for at in range(0, len(p), _PAIRS):
+            x, y = p[at : at + _PAIRS], q[at : at + _PAIRS]
+            n = self.sizes[x] + self.sizes[y]
+            tags = [np.repeat(np.arange(len(x), dtype=np.int64), self.sizes[z]) << 40 | self.items_of(z) for z in (x, y)]
+            both = np.concatenate(tags)
+            both.sort()
+            both = np.bincount(both[1:][both[1:] == both[:-1]] >> 40, minlength=len(x))
+            out[at : at + _PAIRS] = 100 * both >= self.percent * (n - both)
+        return out
+
+    def pairs(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs p > q of holders of some items."""
+        n = (self.begins[1:] - self.begins[:-1])[lists]
+        row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # place in its list; it meets all before it
+        start = np.repeat(self.begins[lists], n)
+        mate = np.arange(row.sum()) - np.repeat(np.cumsum(row) - row, row)
+        one, two = self.holder[np.repeat(start + row, row)], self.holder[np.repeat(start, row) + mate]
+        found = np.unique(np.maximum(one, two) * len(self.sizes) + np.minimum(one, two))
+        return found // len(self.sizes), found % len(self.sizes)
+
+
+def joining_links(hashes: np.ndarray, counts: np.ndarray, bucket: np.ndarray, group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the groups of the sets of each bucket; hashes of different buckets differ, groups too.
+
+    A bucket with few pairs to compare has them all compared at once; in others a set is compared with those outside its
+    group, and what is linked becomes one group."""
+    sets = _Sets(hashes, counts, percent)
     group = np.unique(group, return_inverse=True)[1].copy()
-    members = np.bincount(group)
-    links, main, mine = [], int(members.argmax()), np.zeros(len(df), dtype=bool)
+    bucket = np.unique(bucket, return_inverse=True)[1]
+    per_list = sets.begins[1:] - sets.begins[:-1]
+    some = np.flatnonzero(per_list > 1)
+    of = bucket[sets.holder[sets.begins[some]]]
+    n_pairs = np.bincount(of, weights=per_list[some] * (per_list[some] - 1) / 2, minlength=bucket.max() + 1)
+    few = n_pairs <= 32 * np.bincount(bucket) + 1000
+    links: list[tuple[int, int]] = []
+    p, q = sets.pairs(some[few[of]])
+    use = (group[p] != group[q]) & sets.fit(p, q)
+    p, q = p[use], q[use]
+    use = sets.similar(p, q)
+    links += zip(p[use].tolist(), q[use].tolist(), strict=True)
+    for k in np.flatnonzero(~few):
+        links += _one_by_one(sets, group, np.flatnonzero(bucket == k))
+    return links
+
+
+def _one_by_one(sets: _Sets, group: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
+    members = np.bincount(group[rows])
+    links, main, mine = [], int(members.argmax()), np.zeros(len(sets.begins) - 1, dtype=bool)
     # once all sets outside one group have been compared with all, nothing is missed
-    for p in np.lexsort((np.arange(len(counts)), members[group])):
-        if group[p] == main or not sizes[p]:
+    for p in rows[np.lexsort((rows, members[group[rows]]))]:
+        if group[p] == main or not sets.sizes[p]:
             continue
-        own = item[offsets[p] : offsets[p + 1]]
-        parts = [holder[begins[x] : begins[x + 1]] for x in own[: first[p]]]
-        near = np.unique(np.concatenate(parts))
-        near = near[(group[near] != group[p]) & (100 * np.minimum(sizes[near], sizes[p]) >= percent * np.maximum(sizes[near], sizes[p]))]
+        own = sets.item[sets.offsets[p] : sets.offsets[p + 1]]
+        near = np.unique(np.concatenate([sets.holder[sets.begins[x] : sets.begins[x + 1]] for x in own[: sets.first[p]]]))
+        near = near[(group[near] != group[p]) & sets.fit(near, p)]
         if not len(near):
             continue
         mine[own] = True
-        n = sizes[near]
-        at = np.arange(n.sum()) + np.repeat(offsets[near] - (np.cumsum(n) - n), n)
-        both = np.add.reduceat(mine[item[at]].astype(np.int64), np.cumsum(n) - n)
+        n = sets.sizes[near]
+        both = np.add.reduceat(mine[sets.items_of(near)].astype(np.int64), np.cumsum(n) - n)
         mine[own] = False
-        near = near[100 * both >= percent * (n + sizes[p] - both)]
+        near = near[100 * both >= sets.percent * (n + sets.sizes[p] - both)]
         joined, which = np.unique(group[near], return_index=True)
         for g, k in zip(joined.tolist(), which.tolist(), strict=True):
             links.append((int(p), int(near[k])))
             main = int(group[p]) if g == main else main
-            group[group == g] = group[p]
+            group[rows[group[rows] == g]] = group[p]
     return links
 
 
 def _in_task(percent: int, flat_of: FlatOf) -> Callable[[pa.Table], pa.Table]:
+    def codes(column: pa.ChunkedArray) -> np.ndarray:
+        return pc.dictionary_encode(column).combine_chunks().indices.to_numpy().astype(np.int64)
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         hashes, counts = flat_of(table.column("payload").combine_chunks())
-        comp = table.column("comp").combine_chunks().dictionary_encode()
-        comp = (comp if isinstance(comp, pa.DictionaryArray) else comp.combine_chunks()).indices.to_numpy()
-        links = np.array(joining_links(hashes, counts, comp, percent), dtype=np.int64).reshape(-1, 2)
+        bucket, comp = codes(table.column("key")), codes(table.column("comp"))
+        apart = kernel.mix(hashes ^ kernel.mix(np.repeat(bucket + 1, counts).astype(U64)))
+        links = np.array(joining_links(apart, counts, bucket, bucket * (comp.max() + 1) + comp, percent), dtype=np.int64).reshape(-1, 2)
         rep = table.column("rep")
         return pa.table({"a": rep.take(pa.array(links[:, 0])), "b": rep.take(pa.array(links[:, 1]))})
 
@@ -193,9 +256,12 @@ def similar_components(mates: DataFrame, payloads: DataFrame, percent: int, flat
     # then, within buckets whose items aren't one component yet, all items outside the largest
     now = scratch(mates.where(F.col("m") > PIVOTS).join(comps, mates.rep == comps.id, "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
     open_ = scratch(now.join(_per_bucket(now).select("key", "bytes"), "key"))
-    here = open_.where(F.col("bytes") <= GATHERED).select("key", "rep", "comp").join(payloads, "rep")
+    small = open_.where(F.col("bytes") <= GATHERED)
+    # a call takes several buckets, of GATHERED bytes in all or so
+    n_calls = 1 + int((small.agg(F.sum(8 * F.col("n"))).first()[0] or 0) // GATHERED)
+    here = small.select("key", "rep", "comp").join(payloads, "rep").withColumn("call", F.pmod(F.xxhash64("key"), F.lit(n_calls)))
     kind = payloads.schema["rep"].dataType.simpleString()
-    more = scratch(here.groupBy("key").applyInArrow(_in_task(percent, flat_of), f"a {kind}, b {kind}").distinct())
+    more = scratch(here.groupBy("call").applyInArrow(_in_task(percent, flat_of), f"a {kind}, b {kind}").distinct())
     if more.limit(1).count():
         edges = scratch(edges.union(more))
         comps = components(edges)

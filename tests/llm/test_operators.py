@@ -293,9 +293,14 @@ def test_joining_links(percent):
         return [find(x) for x in range(len(sets))]
 
     counts = np.array([len(s) for s in sets])
-    got = links.joining_links(np.concatenate(sets), counts, np.arange(len(sets)), percent)
-    assert set(map(lambda e: (max(e), min(e)), got)) <= set(pairs)
-    assert components_of(got) == components_of(pairs)
+    got = links.joining_links(np.concatenate(sets), counts, np.zeros(len(sets), dtype=int), np.arange(len(sets)), percent)
+    other = links._one_by_one(links._Sets(np.concatenate(sets), counts, percent), np.arange(len(sets)), np.arange(len(sets)))
+    for found in (got, other):
+        assert {(max(e), min(e)) for e in found} <= set(pairs)
+        assert components_of(found) == components_of(pairs)
+    # two buckets with different hashes at once
+    twice = links.joining_links(np.concatenate([*sets, *(s + np.uint64(1000) for s in sets)]), np.tile(counts, 2), np.repeat([0, 1], len(sets)), np.arange(2 * len(sets)), percent)
+    assert components_of([(a, b) for a, b in twice if a < len(sets)]) == components_of([(a - len(sets), b - len(sets)) for a, b in twice if a >= len(sets)]) == components_of(pairs)
 
 
 def test_joining_links_of_a_common_hash():
@@ -303,7 +308,7 @@ def test_joining_links_of_a_common_hash():
     n = 40_000
     hashes = np.concatenate([np.array([0, *(5 * k + j for j in range(1, 5))], dtype=np.uint64) for k in range(n)])
     began = time.perf_counter()
-    assert links.joining_links(hashes, np.full(n, 5), np.arange(n), 80) == []
+    assert links.joining_links(hashes, np.full(n, 5), np.zeros(n, dtype=int), np.arange(n), 80) == []
     assert time.perf_counter() - began < 10
 
 
