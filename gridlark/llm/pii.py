@@ -2,7 +2,7 @@
 
 Base patterns give spans that always stay. Generators of higher recall propose further, overlapping spans; boosted
 trees over format and context features score them, and a threshold calibrated for each kind selects. The trees are
-trained in numpy on generated, labelled candidates of a fixed seed, and applied as column expressions."""
+trained in numpy on candidates of the documents themselves, labelled by validation, and applied as column expressions."""
 
 from __future__ import annotations
 
@@ -22,21 +22,28 @@ BASE = {
 }
 #: Cheap tests that any text with a match passes.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-#: Generators: obfuscated addresses, addresses with brackets or eight groups, digit groups.
+#: What the method looks for besides: keys, tokens and passwords in texts.
+ALL_KINDS = (*KINDS, "secret")
+_AT, _DOT = r"(?:\x20?(?:\[at\]|\(at\)|\{at\})\x20?|\x20at\x20)", r"(?:\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?|\x20dot\x20)"
+#: Generators: written-out addresses, addresses with brackets or eight groups, digit groups of any usual form, long runs
+#: of letters and digits. They propose far more than is personal.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]{1,63}){1,6}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3})(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_AT}[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}){{1,6}}|@[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,6}})",
+    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\x20\.\x20)[0-9]{1,3}){3})(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_\x20-]{1,2}[0-9]{2,6}){2,4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+.])(?:00[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,199}[0-9])(?=[0-9_/+=-]{0,199}[A-Za-z])[A-Za-z0-9_/+=-]{20,200}+(?![A-Za-z0-9_/+=-])",
 }
-WIDE_NEEDS = {"email": r"[\[({]at[\])}]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]|[0-9]\[\.\]", "card": r"[0-9][./_][0-9]", "phone": r"[0-9][)\x20.-]\x20?[0-9]"}
+WIDE_NEEDS = {"email": r"[\[({]at[\])}]|\x20at\x20|[\[({]dot[\])}]|\x20dot\x20", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]|[0-9][\[(\x20]", "card": r"[0-9][./_\x20-]{1,2}[0-9]", "phone": r"[0-9][)\x20./-]\x20?[0-9]", "secret": r"[0-9][A-Za-z]|[A-Za-z][0-9]"}
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Words before a span that speak for personal data, and against.
+#: Words before a span that speak for personal data, for a secret, and against.
 FOR = r"(?i)(?:phone|tel|call|mobile|fax|cell|mail|contact|reach|write|card|visa|master|amex|pay|ip|host|addr|from|t[ée]l[ée]fon|correo|handy|rufen)[^\n]{0,16}$"
-AGAINST = r"(?i)(?:order|version|ver|isbn|issn|serial|part|ref|invoice|no|nr|date|id|sku|page|pp|vol|build|doi|score)[^A-Za-z\n]{0,6}$"
+KEY = r"(?i)(?:token|secret|passw|pwd|passphrase|credential|bearer|api|key|auth)[^\n]{0,12}$"
+AGAINST = r"(?i)(?:order|version|ver|isbn|issn|serial|part|ref|invoice|no|nr|date|id|sku|page|pp|vol|build|doi|score|commit|sha[0-9]*|md5|digest|checksum)[^A-Za-z\n]{0,6}$"
 CONTEXT = 24
-FEATURES = ("kind", "digits", "separators", "kinds_of_separators", "length", "luhn", "bytes", "for", "against", "parenthesis", "first_group", "year")
-
+FEATURES = ("kind", "digits", "letters", "separators", "kinds_of_separators", "length", "distinct", "luhn", "bytes", "address", "hex", "for", "key", "against", "parenthesis", "plus", "first_group", "year")
+#: Longest span that is scored; a wide span is never longer.
+MOST_LENGTH = 600
 
 def _luhn(digits: Column) -> Column:
     """Whether a string of digits passes Luhn's test."""
@@ -73,102 +80,160 @@ def _spans(text: Column, pattern: str, matches: Column) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, step, lambda acc: acc.out)).otherwise(none)
 
 
+def _plain(kind: str, span: Column) -> Column:
+    """A span without what hides it: written-out signs, brackets."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(span, _AT, "@"), _DOT, ".")
+    if kind == "ip":
+        return F.regexp_replace(span, r"\x20?[\[(]?(?:\.|dot)[\])]?\x20?", ".")
+    return span
+
+
 # --- training -----------------------------------------------------------------------------------------------------
 
+_VARIANT = "array<struct<span:string,before:string,good:boolean>>"
 
-def _features_of(kind: str, span: str, before: str) -> list[float]:
-    """The features of a candidate, as the column expressions below compute them."""
-    import re
-
-    digits = re.sub("[^0-9]", "", span)
-    seps = re.sub("[0-9A-Za-z]", "", span)
-    total = sum(d if (len(digits) - 1 - i) % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, digits)))
-    groups = re.findall("[0-9]+", span)
-    return [KINDS.index(kind), len(digits), len(seps), len(set(seps)), len(span), float(bool(digits) and total % 10 == 0), float(len(groups) == 4 and all(int(g) < 256 for g in groups)), float(bool(re.search(FOR, before))), float(bool(re.search(AGAINST, before))), float("(" in span), len(groups[0]) if groups else 0, float(bool(re.match(r"(?:19|20)[0-9]{2}[^0-9]", span)))]
-
-
-def _generated(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled candidates of all kinds: personal data in a fitting context, and numbers that only look alike."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    digit = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
-    pick = lambda *x: x[rng.integers(len(x))]
-
-    def card() -> str:
-        body = digit(15)
-        total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, body)))
-        return body + str(-total % 10)
-
-    rows, labels = [], []
-    for _ in range(n):
-        kind, good = pick(*KINDS), bool(rng.integers(2))
-        near = pick("call me at ", "phone: ", "contact ", "card ", "pay with ", "host ", "mail ", "tel. ", "and the ", "was ", "") if good else pick("order no. ", "version ", "ISBN ", "ref ", "invoice nr. ", "on ", "the ", "of ", "", "score ")
-        if kind == "email":
-            span = f"user{digit(2)}{pick('[at]', ' (at) ', '{at}')}mail{digit(1)}{pick('.', '[dot]', ' (dot) ')}com" if good else f"{digit(3)}[at]{digit(2)}.{digit(3)}"
-        elif kind == "ip":
-            span = pick("[.]".join(str(x) for x in rng.integers(1, 255, 4)), ":".join(f"{x:x}" for x in rng.integers(4096, 65536, 8))) if good else pick("[.]".join(str(x) for x in rng.integers(256, 999, 4)), ":".join(digit(2) for _ in range(8)))
-        elif kind == "card":
-            body, sep = card() if good else digit(16), pick(".", "/", "_")
-            span = sep.join(body[i : i + 4] for i in range(0, 16, 4))
-        else:
-            sep = pick("-", ".", " ")
-            span = pick(f"({rng.integers(201, 990)}) {rng.integers(200, 999)}{sep}{digit(4)}", f"{rng.integers(201, 990)}{sep}{rng.integers(200, 999)}{sep}{digit(4)}") if good else pick(f"{rng.integers(1900, 2030)}{sep}{digit(3)}{sep}{digit(3)}", f"{digit(2)}{sep}{digit(3)}{sep}{digit(3)}", f"{digit(4)}{sep}{digit(4)}{sep}{digit(4)}")
-            good = good and bool(near) and near not in ("and the ", "was ")
-        rows.append(_features_of(kind, span, f"xx {near}"))
-        labels.append(good)
-    return np.array(rows), np.array(labels, dtype=float)
-
-
-def fit_trees(n: int = 4000, rounds: int = 40, depth: int = 3, rate: float = 0.3, seed: int = 11, precision: float = 0.98) -> tuple[list, float, dict[str, float]]:
-    """Boosted trees on log loss, their start, and for each kind the least score with enough precision on held-out rows."""
-    x, y = _generated(n, seed)
+
+def _variants(kind: str, span: Column, before: Column) -> Column:
+    """Labelled candidates from one of the corpus: itself, labelled by validation, and if it is valid, the same hidden in
+    other ways of writing, in contexts that speak for or against it, and spoilt so that it is valid no longer."""
+    one = lambda s, b, good: F.struct(s.alias("span"), b.alias("before"), good.alias("good"))
+    yes, no, plain = F.lit(True), F.lit(False), _plain(kind, span)
+    told, other = F.lit("you can contact me: "), F.lit("order no. ")
+    digits = F.regexp_replace(span, "[^0-9]", "")
+    if kind == "email":
+        valid = plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+        hidden = [F.replace(plain, F.lit("@"), F.lit(x)) for x in ("[at]", " (at) ", " at ")]
+        more = [one(F.regexp_replace(h, r"\.([A-Za-z]+)$", d), b, yes) for h in hidden for d in (".$1", " [dot] $1", " dot $1") for b in (before, told)]
+        more += [one(F.regexp_replace(h, r"\.[A-Za-z]+$", ".5"), before, no) for h in hidden]
+    elif kind == "ip":
+        valid = _valid("ip", plain) | (plain.rlike("^[0-9A-Fa-f:]+$") & plain.rlike("[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]"))
+        more = [one(F.replace(plain, F.lit("."), F.lit(x)), b, yes) for x in ("[.]", "(.)", "[dot]") for b in (before, F.lit("from host "))]
+        more += [one(F.regexp_replace(F.replace(plain, F.lit("."), F.lit("[.]")), "^[0-9]+", x), before, no) for x in ("512", "999")]
+        more += [one(F.lit("01:23:45:12:30:59:10:11"), before, no), one(F.lit("2001:0db8:85a3:0042:1000:8a2e:0370:7334"), before, yes)]
+    elif kind == "card":
+        valid = _valid("card", span)
+        grouped = [F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", f"$1{x}") for x in (".", "/", "_", "--", " - ")]
+        last = F.substring(digits, -1, 1).cast("int")
+        spoilt = F.concat(F.regexp_replace(digits, "[0-9]$", ""), F.pmod(last + 1, F.lit(10)).cast("string"))
+        more = [one(g, b, yes) for g in grouped for b in (before, told)]
+        more += [one(F.regexp_replace(spoilt, "([0-9]{4})(?=[0-9])", f"$1{x}"), b, no) for x in (".", "/", "_", " ") for b in (before, other)]
+    elif kind == "phone":
+        valid = _valid("phone", span) & span.startswith("+")
+        national = F.concat(F.lit("("), F.substring(digits, -10, 3), F.lit(") "), F.substring(digits, -7, 3), F.lit("-"), F.substring(digits, -4, 4))
+        forms = [national, F.regexp_replace(national, r"[()]", ""), F.regexp_replace(F.regexp_replace(national, r"[()]", ""), "[ -]", "."), F.concat(F.lit("001 "), F.regexp_replace(national, r"[()]", ""))]
+        more = [one(f, b, yes) for f in forms[:2] for b in (before, told)] + [one(f, told, yes) for f in forms]
+        more += [one(f, b, no) for f in forms for b in (other, F.lit("version "))]
+        more += [one(F.regexp_replace(f, "^[(]?[0-9]{3}", "2019"), before, no) for f in forms[1:2]]
+    else:
+        valid = before.rlike(KEY) & (F.size(F.array_distinct(F.split(span, ""))) >= 10) & ~before.rlike(AGAINST)
+        more = [one(span, F.lit("password: "), yes), one(span, F.lit("the commit "), no), one(span, F.lit("sha256: "), no), one(F.concat(F.repeat(F.lit("a1"), 12)), F.lit("token = "), no)]
+    return F.concat(F.array(one(span, before, valid)), F.when(valid, F.array(*more)).otherwise(F.array().cast(_VARIANT)))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(kind, span, before): all spans that base patterns and generators propose in rows (text)."""
+    sources = [(k, n, p[k], needs[k]) for k in ALL_KINDS for n, p, needs in (("hit", BASE, NEEDS), ("far", WIDE, WIDE_NEEDS)) if k in p]
+    wide = rows.select("text", *(_matches(F.col("text"), p, need).alias(f"{n}_{k}") for k, n, p, need in sources))
+    named = lambda k: lambda s: F.struct(F.lit(k).alias("kind"), s.span.alias("span"), _before(F.col("text"), s).alias("before"))
+    spans = [F.transform(_spans(F.col("text"), p, F.col(f"{n}_{k}")), named(k)) for k, n, p, _ in sources]
+    return wide.select(F.explode(F.concat(*spans)).alias("c")).select("c.*").where(F.length("span") <= MOST_LENGTH // 2)
+
+
+def training_rows(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of variants of at most `most` candidates of rows (text), those with the least hashes."""
+    some = _candidates(rows).orderBy(F.xxhash64("kind", "span", "before"), "kind", "span", "before").limit(most)
+    variants = F.lit(None).cast(_VARIANT)
+    for k in ALL_KINDS:
+        variants = F.when(F.col("kind") == k, _variants(k, F.col("span"), F.col("before"))).otherwise(variants)
+    each = some.select("kind", F.explode(variants).alias("v"))
+    values = F.lit(None).cast("array<double>")
+    for k in ALL_KINDS:
+        values = F.when(F.col("kind") == k, F.array(*(c.cast("double") for c in _feature_columns(k, F.col("v.span"), F.col("v.before"))))).otherwise(values)
+    found = each.select(values.alias("x"), F.col("v.good").cast("double").alias("y")).toArrow()
+    x = found.column("x").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if len(found) else np.zeros((0, len(FEATURES)))
+    y = found.column("y").to_numpy()
+    order = np.lexsort((y, *x.T))  # the same trees, however rows come in
+    return x[order], y[order]
+
+
+def fit_kinds(x: np.ndarray, y: np.ndarray) -> dict[str, tuple[list, float, float]]:
+    """Trees, their start and the threshold of each kind."""
+    return {kind: fit_trees(x[x[:, 0] == k], y[x[:, 0] == k]) for k, kind in enumerate(ALL_KINDS)}
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 16, depth: int = 3, rate: float = 0.5, precision: float = 0.98, seed: int = 11) -> tuple[list, float, float]:
+    """Boosted trees on log loss, their start, and a threshold with enough precision on held-out rows.
+
+    Without good rows or without good held-out ones the threshold is infinite: nothing is selected."""
+    n = len(y)
+    if n < 40 or y.min() == y.max():
+        return [], 0.0, float("inf")
+    mixed = np.random.Generator(np.random.PCG64(seed)).permutation(n)
+    x, y = x[mixed], y[mixed]
     cut = n * 3 // 4
     start = float(np.log((y[:cut].mean() + 1e-6) / (1 - y[:cut].mean() + 1e-6)))
 
+    edges = [np.unique(np.quantile(x[:cut, f], np.linspace(0, 1, 17)[:-1])) for f in range(x.shape[1])]
+    codes = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)])  # code <= j: x <= edges[j]
+
     def grow(at: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
-        value = g[at].sum() / (h[at].sum() + 1.0)
+        total_g, total_h = g[at].sum(), h[at].sum()
         best = (1e-3, None, None)
         if left and len(at) >= 20:
-            for f in range(x.shape[1]):
-                for t in np.unique(np.quantile(x[at, f], (0.1, 0.25, 0.5, 0.75, 0.9))):
-                    low = x[at, f] <= t
-                    if 10 <= low.sum() <= len(at) - 10:
-                        gain = sum(g[a].sum() ** 2 / (h[a].sum() + 1.0) for a in (at[low], at[~low])) - g[at].sum() ** 2 / (h[at].sum() + 1.0)
-                        best = max(best, (gain, f, t), key=lambda b: b[0])
+            for f, e in enumerate(edges):
+                of = codes[f, at]
+                sums = [np.cumsum(np.bincount(of, weights=w, minlength=len(e) + 1))[:-1] for w in (g[at], h[at], np.ones(len(at)))]
+                fits = (sums[2] >= 5) & (sums[2] <= len(at) - 5)
+                gain = np.where(fits, sums[0] ** 2 / (sums[1] + 1.0) + (total_g - sums[0]) ** 2 / (total_h - sums[1] + 1.0) - total_g**2 / (total_h + 1.0), 0.0)
+                j = int(gain.argmax())
+                best = max(best, (float(gain[j]), f, j), key=lambda b: b[0])
         if best[1] is None:
-            return float(rate * value)
-        low = x[at, best[1]] <= best[2]
-        return (best[1], float(best[2]), grow(at[low], g, h, left - 1), grow(at[~low], g, h, left - 1))
-
-    def run(tree, row):
-        while isinstance(tree, tuple):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree
+            return float(rate * total_g / (total_h + 1.0))
+        low = codes[best[1], at] <= best[2]
+        return (best[1], float(edges[best[1]][best[2]]), grow(at[low], g, h, left - 1), grow(at[~low], g, h, left - 1))
 
     score, trees = np.full(n, start), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
         trees.append(grow(np.arange(cut), y - p, p * (1 - p), depth))
-        score += np.array([run(trees[-1], row) for row in x])
-    thresholds = {}
-    for k, kind in enumerate(KINDS):
-        held = np.arange(n)[(np.arange(n) >= cut) & (x[:, 0] == k)]
-        held = held[np.argsort(-score[held])]
-        right = np.cumsum(y[held]) / np.arange(1, len(held) + 1)
-        enough = np.flatnonzero(right >= precision)
-        thresholds[kind] = float(max(score[held[enough[-1]]], 0.0)) if len(enough) else float("inf")
-    return trees, start, thresholds
+        score += tree_values(trees[-1], x)
+    held = np.arange(cut, n)
+    held = held[np.argsort(-score[held], kind="stable")]
+    right = np.cumsum(y[held]) / np.arange(1, len(held) + 1)
+    # ties share a score, so only the last of them counts
+    enough = np.flatnonzero((right >= precision) & np.append(np.diff(score[held]) < 0, True))
+    if not len(enough):
+        return trees, start, float("inf")
+    last = enough[-1]
+    below = score[held[last + 1]] if last + 1 < len(held) else -np.inf
+    return trees, start, float(max((score[held[last]] + below) / 2, 0.0))  # midway to the first that is left out
+
+
+def tree_values(tree, x: np.ndarray) -> np.ndarray:
+    """The value of a tree for each row."""
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    return np.where(x[:, tree[0]] <= tree[1], tree_values(tree[2], x), tree_values(tree[3], x))
 
 
 # --- application --------------------------------------------------------------------------------------------------
 
 
+def _before(text: Column, s: Column) -> Column:
+    return F.substring(text, F.greatest(s.start - CONTEXT, F.lit(0)) + 1, F.least(s.start, F.lit(CONTEXT)))
+
+
 def _feature_columns(kind: str, span: Column, before: Column) -> list[Column]:
-    digits = F.regexp_replace(span, "[^0-9]", "")
+    plain = _plain(kind, span)
+    digits = F.regexp_replace(plain, "[^0-9]", "")
     seps = F.regexp_replace(span, "[0-9A-Za-z]", "")
-    groups = F.regexp_extract_all(span, F.lit("[0-9]+"), F.lit(0))
+    groups = F.regexp_extract_all(plain, F.lit("[0-9]+"), F.lit(0))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    kinds = lambda c: F.size(F.array_distinct(F.split(c, ""))) - F.when(c == "", 1).otherwise(0)
     small = (F.size(groups) == 4) & F.forall(groups, lambda g: F.coalesce(g.try_cast("long"), F.lit(999)) < 256)
-    return [F.lit(float(KINDS.index(kind))), F.length(digits), F.length(seps), F.size(F.array_distinct(F.split(seps, ""))) - F.when(seps == "", 1).otherwise(0), F.length(span), flag(_luhn(digits)), flag(small), flag(before.rlike(FOR)), flag(before.rlike(AGAINST)), flag(span.contains("(")), F.coalesce(F.length(F.get(groups, F.lit(0))), F.lit(0)), flag(span.rlike(r"^(?:19|20)[0-9]{2}[^0-9]"))]
+    address = plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+    return [F.lit(float(ALL_KINDS.index(kind))), F.length(digits), F.length(F.regexp_replace(plain, "[^A-Za-z]", "")), F.length(seps), kinds(seps), F.length(span), kinds(plain), flag(_luhn(digits)), flag(small), flag(address), flag(plain.rlike("^[0-9A-Fa-f:]+$")), flag(before.rlike(FOR)), flag(before.rlike(KEY)), flag(before.rlike(AGAINST)), flag(span.contains("(")), flag(span.startswith("+")), F.coalesce(F.length(F.get(groups, F.lit(0))), F.lit(0)), flag(span.rlike(r"^(?:19|20)[0-9]{2}[^0-9]"))]
 
 
 def _tree_column(tree, features: list[Column]) -> Column:
@@ -177,36 +242,44 @@ def _tree_column(tree, features: list[Column]) -> Column:
     return F.when(features[tree[0]] <= tree[1], _tree_column(tree[2], features)).otherwise(_tree_column(tree[3], features))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, counts of the base spans of each kind, base_sha256, spans.
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_candidates: int = 4000) -> DataFrame:
+    """One row per input row: id, counts of the base spans of each kind, base_sha256, spans; n_added, n_secrets, secrets
+    and personal (whether there is any span or secret).
 
     `spans` is the comma-joined kind:start:end of base spans and selected candidates, by start, then kind; base_sha256
-    is the digest of the same string of base spans only. A candidate that overlaps a base span or a selected one before
-    it is left out. Null and empty texts have no spans. Repeated rows and null ids are treated like others; texts may
-    be of any length; an empty table gives an empty result."""
-    trees, start, thresholds = fit_trees()
+    is the digest of the same string of base spans only; `secrets` are keys, tokens and passwords, written likewise. Of
+    overlapping candidates the one with the best score is taken, none that overlaps a base span. The trees are fitted on
+    at most `most_candidates` candidates of these documents (those with the least hashes), labelled by validation. Null
+    and empty texts have no spans. Repeated rows and null ids are treated like others; texts may be of any length that
+    fits a task; an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hits = rows.select("*", *(_matches(F.col("text"), p[k], needs[k]).alias(f"{n}_{k}") for k in KINDS for n, p, needs in (("hit", BASE, NEEDS), ("far", WIDE, WIDE_NEEDS))))
-    found = hits.select("id", "text", *(_spans(F.col("text"), p[k], F.col(f"{n}_{k}")).alias(f"{to}_{k}") for k in KINDS for n, p, to in (("hit", BASE, "raw"), ("far", WIDE, "wide"))))
-    order = lambda k, s: F.struct(s.start.alias("start"), F.lit(KINDS.index(k)).alias("k"), s.end.alias("end"))
+    fitted = fit_kinds(*training_rows(rows.select("text"), most_candidates))
+    hits = rows.select("*", *(_matches(F.col("text"), p[k], needs[k]).alias(f"{n}_{k}") for k in ALL_KINDS for n, p, needs in (("hit", BASE, NEEDS), ("far", WIDE, WIDE_NEEDS)) if k in p))
+    found = hits.select("id", "text", *(_spans(F.col("text"), p[k], F.col(f"{n}_{k}")).alias(f"{to}_{k}") for k in ALL_KINDS for n, p, to in (("hit", BASE, "raw"), ("far", WIDE, "wide")) if k in p))
+    order = lambda k, s: F.struct(s.start.alias("start"), F.lit(ALL_KINDS.index(k)).alias("k"), s.end.alias("end"))
     base_of = lambda k: F.transform(F.filter(f"raw_{k}", lambda s: _valid(k, s.span)), lambda s: order(k, s))
-    base = found.select("id", "text", *(base_of(k).alias(f"base_{k}") for k in KINDS), *(f"wide_{k}" for k in KINDS))
+    base = found.select("id", "text", *(base_of(k).alias(f"base_{k}") for k in KINDS), *(f"wide_{k}" for k in ALL_KINDS))
     base = base.withColumn("base", F.array_sort(F.concat(*(F.col(f"base_{k}") for k in KINDS))))
-
-    def chosen(k: str) -> Column:
-        def good(s: Column) -> Column:
-            before = F.substring(F.col("text"), F.greatest(s.start - CONTEXT, F.lit(0)) + 1, F.least(s.start, F.lit(CONTEXT)))
-            f = _feature_columns(k, s.span, before)
-            # features are computed once for a candidate, then all trees read them
-            score = F.aggregate(F.array(F.array(*(c.cast("double") for c in f))), F.lit(0.0), lambda _, v: reduce(lambda a, t: a + _tree_column(t, [F.get(v, F.lit(i)) for i in range(len(f))]), trees, F.lit(start)))
-            return ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)) & (score >= thresholds[k])
-
-        if thresholds[k] == float("inf"):
-            return F.array().cast("array<struct<start:int,k:int,end:int>>")
-        return F.transform(F.filter(f"wide_{k}", good), lambda s: order(k, s))
-
-    more = base.withColumn("more", F.array_sort(F.concat(*(chosen(k) for k in KINDS))))
-    empty = F.array().cast("array<struct<start:int,k:int,end:int>>")
-    apart = F.aggregate("more", F.struct(F.lit(-1).alias("end"), empty.alias("out")), lambda acc, s: F.when(s.start >= acc.end, F.struct(s.end.alias("end"), F.concat(acc.out, F.array(s)).alias("out"))).otherwise(acc), lambda acc: acc.out)
-    text_of = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), s.k + 1), F.lit(":"), s.start, F.lit(":"), s.end)), ",")
-    return more.select(F.col("id").alias(id_col), *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"), text_of(F.array_sort(F.concat("base", apart))).alias("spans"))
+    overlap = lambda a, b: (a.start < b.end) & (b.start < a.end)
+
+    def scored(k: str) -> Column:
+        trees, start, threshold = fitted[k]
+        if threshold == float("inf"):
+            return empty
+        free = F.filter(f"wide_{k}", lambda s: ~F.exists("base", lambda b: overlap(b, s)))
+        features = lambda s: F.array(*(c.cast("double") for c in _feature_columns(k, s.span, _before(F.col("text"), s))))
+        # features are computed once for a candidate, then all trees read them
+        each = F.transform(free, lambda s: F.struct(features(s).alias("v"), s.start.alias("start"), s.end.alias("end")))
+        score = lambda c: reduce(lambda a, t: a + _tree_column(t, [F.get(c.v, F.lit(i)) for i in range(len(FEATURES))]), trees, F.lit(start))
+        each = F.transform(each, lambda c: F.struct((-score(c)).alias("loss"), c.start.alias("start"), F.lit(ALL_KINDS.index(k)).alias("k"), c.end.alias("end")))
+        return F.filter(each, lambda s: s.loss <= -threshold)
+
+    empty = F.array().cast("array<struct<loss:double,start:int,k:int,end:int>>")
+    more = base.withColumn("more", F.array_sort(F.concat(*(scored(k) for k in ALL_KINDS))))
+    apart = F.aggregate("more", empty, lambda acc, s: F.when(F.exists(acc, lambda b: overlap(b, s)), acc).otherwise(F.concat(acc, F.array(s))))
+    more = more.withColumn("apart", F.transform(apart, lambda s: F.struct(s.start.alias("start"), s.k.alias("k"), s.end.alias("end"))))
+    secret = ALL_KINDS.index("secret")
+    more = more.withColumns({"secrets": F.array_sort(F.filter("apart", lambda s: s.k == secret)), "added": F.filter("apart", lambda s: s.k != secret)})
+    text_of = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(F.array(*map(F.lit, ALL_KINDS)), s.k + 1), F.lit(":"), s.start, F.lit(":"), s.end)), ",")
+    spans = F.array_sort(F.concat("base", "added"))
+    return more.select(F.col("id").alias(id_col), *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"), text_of(spans).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size("secrets").cast("long").alias("n_secrets"), text_of(F.col("secrets")).alias("secrets"), (F.size("base") + F.size("apart") > 0).alias("personal"))

@@ -373,30 +373,45 @@ def base_spans(x):
 
 
 def test_personal_data(spark, docs, none):
-    cases = ["a.b@c.de_d@e.fg h@i", "x@y.z@w.v", "é 1.2.3.4.5.6.7.8 300.1.1.1 00255.0.0.1 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111", "+1 (234) 555-6789 +12 +49.30.1234567-", "9" * 5000, "a" * 50000, "1.2.3.4@5.6", "+1 4111111111111111", "call me at 415-555-2671 or order no. 1234-5678-9012", "user12[at]mail3.com", "tel. (415) 555-2671"]
-    more = docs.unionByName(spark.createDataFrame([(10_000 + k, x) for k, x in enumerate(cases)], "doc_id long, text string"), allowMissingColumns=True)
-    rows = pii.find_personal_data(more).join(more.select("doc_id", "text"), "doc_id").collect()
-    for r in rows:
-        base = base_spans(r.text or "")
-        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest(), r
-        assert set(base) <= set(r.spans.split(",")) | {""} and len(base) == r.n_email + r.n_ip + r.n_card + r.n_phone
-    spans = {r.doc_id: r.spans for r in rows}
-    assert spans[10_010] == "email:0:19" and "phone" in spans[10_011]
-    assert all(spans[i] == ",".join(base_spans(t or "")) for i, t in ((r.doc_id, r.text) for r in rows) if i < 10_000)
+    cases = ["a.b@c.de_d@e.fg h@i", "x@y.z@w.v", "é 1.2.3.4.5.6.7.8 300.1.1.1 00255.0.0.1 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111", "+1 (234) 555-6789 +12 +49.30.1234567-", "9" * 5000, "a" * 50000, "1.2.3.4@5.6", "+1 4111111111111111", "a1" * 5000]
+    r = random.Random(3)
+    plain = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    learned = [f"Some text here, {x}." for k in range(60) for x in (f"ann.{k}@mail{k % 7}.example.com", f"{k}.{k + 90}.7.{3 * k}", f"+1 ({200 + 9 * k}) 555-{1000 + 77 * k}", CARDS[k], f'token = "{plain[k]}"')]
+    hidden = {30_000: "write to user12 [at] mail3.com please", 30_001: "call me: (415) 555-2671", 30_002: "from host 10[.]20[.]30[.]40", 30_003: f"pay with {CARDS[60][:4]}/{CARDS[60][4:8]}/{CARDS[60][8:12]}/{CARDS[60][12:]}", 30_004: f"password: {plain[5][::-1]}"}
+    not_hidden = {31_000: "order no. 415-555-2671", 31_001: "from host 310[.]20[.]30[.]40", 31_002: "pay with 4111/1111/1111/1112", 31_003: f"the commit {plain[7][::-1]}", 31_004: "meet at home. Then go"}
+    rows = [(10_000 + k, x) for k, x in enumerate([*cases, *learned])] + [*hidden.items(), *not_hidden.items()]
+    more = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    out = pii.find_personal_data(more).join(more.select("doc_id", "text"), "doc_id").collect()
+    for x in out:
+        base = base_spans(x.text or "")
+        assert x.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest(), x
+        assert set(base) <= set(x.spans.split(",")) | {""} and len(base) == x.n_email + x.n_ip + x.n_card + x.n_phone
+        assert x.personal == bool(x.spans or x.secrets)
+    by = {x.doc_id: x for x in out}
+    assert [(by[i].spans, by[i].secrets) for i in hidden] == [("email:9:30", ""), ("phone:9:23", ""), ("ip:10:27", ""), ("card:9:28", ""), ("", "secret:10:50")]
+    assert not any(by[i].personal for i in not_hidden)
+    assert sum(by[10_000 + len(cases) + k].n_secrets for k in range(4, 300, 5)) == 60
+    assert not any(x.n_added for x in out if x.doc_id is not None and x.doc_id < 10_000)
     assert pii.find_personal_data(none).count() == 0
 
 
-def test_trees_separate_generated_candidates():
-    trees, start, thresholds = pii.fit_trees()
-    x, y = pii._generated(800, 77)
+def _card(k):
+    body = f"4{k * 7919 % 10**14:014d}"
+    return body + next(str(d) for d in range(10) if luhn(body + str(d)))
 
-    def run(tree, row):
-        while isinstance(tree, tuple):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree
 
-    said = np.array([start + sum(run(t, r) for t in trees) >= thresholds[pii.KINDS[int(r[0])]] for r in x])
-    assert y[said].mean() > 0.95 and said[y == 1].mean() > 0.7
+CARDS = [_card(k + 1) for k in range(61)]
+
+
+def test_trees_fit_and_calibrate():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, len(pii.FEATURES)))
+    y = ((x[:, 1] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    trees, start, threshold = pii.fit_trees(x[:3000], y[:3000])
+    said = start + sum(pii.tree_values(t, x[3000:]) for t in trees) >= threshold
+    assert y[3000:][said].mean() > 0.95 and said[y[3000:] == 1].mean() > 0.8
+    for none in (y[:0], np.zeros(4000)):
+        assert pii.fit_trees(x[: len(none)], none)[2] == float("inf")
 
 
 def test_packing(docs, none, texts):
