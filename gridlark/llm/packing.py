@@ -2,8 +2,8 @@
 
 Documents are dealt at random into shards of bounded size, and each shard is packed by itself: longest pieces first,
 each into the open bin that it leaves fullest. If none has room, the bin of least cost is opened: the permitted length
-whose expected waste, given the pieces still to come, is least. At the end every bin is downsized to the smallest
-permitted length that holds its contents."""
+with the least expected padding and attention a token used, given the pieces still to come and the room already open. At
+the end every bin is downsized to the smallest permitted length that holds its contents."""
 
 from __future__ import annotations
 
@@ -18,48 +18,53 @@ from gridlark.llm.common import scratch
 
 #: Permitted sequence lengths in tokens.
 LENGTHS = (512, 1024, 2048, 4096)
+#: Share of a token's cost that attention takes in the longest sequence; it falls with the length.
+ATTENTION = 0.1
 #: Pieces that one task packs at once, about.
 SHARD = 50_000
 
 
+def bin_cost(length: int, used: int, top: int) -> float:
+    """Padding of a bin, and its attention: in proportion to the length squared, ATTENTION a token in the longest."""
+    return length - used + ATTENTION * length * length / top
+
+
 def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of each piece, and the length of each bin. No piece may be over the largest length.
 
-    A new bin for a piece of size s: each length L >= s is a candidate; its cost a token used is L / (s + what the
-    pieces still to come can fill of L - s), where they can fill all they have that fit singly. Ties take the
-    larger. Bins are kept sorted by room, so the fullest that fits is found by bisection."""
+    A new bin for a piece of size s: each length L >= s is a candidate, with its cost a token used. It is taken to be
+    filled by pieces still to come of at most L - s, as far as they have more tokens than the room already open. Ties
+    take the shorter. Bins are kept sorted by room, so the fullest that fits is found by bisection."""
     lengths = tuple(sorted(lengths))
+    top = lengths[-1]
     order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
-    to_come, total = [0] * (len(sizes) + 1), 0  # tokens of the pieces after a place in the order
+    after = [0] * (len(sizes) + 1)  # tokens of the pieces from a place in the order on
     for at in range(len(order) - 1, -1, -1):
-        to_come[at] = total
-        total += sizes[order[at]]
-    ascending = [-sizes[k] for k in order]  # for bisection by size
-    bins, offsets, room, contents, used = [0] * len(sizes), [0] * len(sizes), [], [], []
-    capacity = []
+        after[at] = after[at + 1] + sizes[order[at]]
+    falling = [-sizes[k] for k in order]  # for bisection by size
+    bins, offsets, used, open_room = [0] * len(sizes), [0] * len(sizes), [], 0
+    room: list[tuple[int, int]] = []
     for at, k in enumerate(order):
         s = sizes[k]
         spot = bisect_left(room, (s, -1))
         if spot < len(room):
             left, b = room.pop(spot)
+            open_room -= left
         else:
             best = None
             for length in lengths:
                 if length >= s:
-                    fits = bisect_left(ascending, -(length - s))  # first piece small enough for the rest
-                    later = max(fits, at + 1)
-                    fill = min(length - s, (to_come[later - 1] if later <= len(order) else 0) if length > s else 0)
-                    cost = (length / max(s + fill, 1), -length)
+                    small = after[max(bisect_left(falling, s - length), at + 1)]  # tokens of pieces that fit into the rest
+                    fill = min(length - s, max(small - open_room, 0))
+                    cost = bin_cost(length, s + fill, top) / max(s + fill, 1)
                     best = min(best or (cost, length), (cost, length))
-            b, left = len(capacity), best[1]
-            capacity.append(best[1])
-            contents.append([])
+            b, left = len(used), best[1]
             used.append(0)
         bins[k], offsets[k] = b, used[b]
-        contents[b].append(k)
         used[b] += s
         if left - s:
             insort(room, (left - s, b))
+            open_room += left - s
     final = [next(x for x in lengths if x >= u) for u in used]
     return bins, offsets, final
 

@@ -433,6 +433,47 @@ def test_packing(docs, none, texts):
     assert used / room > 0.9
 
 
+def packed_cost(sizes, lengths, top):
+    bins, offsets, final = packing.best_fit(sizes, lengths)
+    used = Counter()
+    for b, n in zip(bins, sizes, strict=True):
+        used[b] += n
+    assert all(used[b] <= final[b] for b in used)
+    final = [next(x for x in LENGTHS if x >= u) for u in (used[b] for b in sorted(used))]  # downsized to any permitted length
+    return sum(packing.bin_cost(c, used[b], top) for b, c in enumerate(final)), Counter(final)
+
+
+LENGTHS = (64, 128, 256)
+
+
+def test_packing_beats_single_lengths():
+    rng = np.random.default_rng(2)
+    for spread in (0.5, 1.0, 1.5):
+        sizes = np.clip(rng.lognormal(4, spread, 5000), 1, 256).astype(int).tolist()
+        cost, opened = packed_cost(sizes, LENGTHS, 256)
+        single, _ = packed_cost(sizes, (256,), 256)
+        assert cost < single
+        assert min(opened[x] for x in LENGTHS) > 20
+
+
+def test_packing_against_all_partitions():
+    def partitions(items):
+        if not items:
+            yield []
+            return
+        for rest in partitions(items[1:]):
+            yield [items[:1], *rest]
+            for k in range(len(rest)):
+                yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+    r, ratios = random.Random(4), []
+    for _ in range(60):
+        sizes = [r.choice((r.randint(1, 60), r.randint(40, 256))) for _ in range(r.randint(1, 6))]
+        best = min(sum(packing.bin_cost(next(x for x in LENGTHS if x >= sum(b)), sum(b), 256) for b in p) for p in partitions(sizes) if all(sum(b) <= 256 for b in p))
+        ratios.append((packed_cost(sizes, LENGTHS, 256)[0] + sum(sizes)) / (best + sum(sizes)))
+    assert max(ratios) < 1.35 and np.mean(ratios) < 1.05 and np.mean(np.array(ratios) < 1.0001) > 0.5
+
+
 def test_url_filter(spark):
     urls = ["http://www.A.example.org/es/1", "http://a.example.org/en/12?x", "https://b.com/fr/3#y", "https://b.com/de/3", "http://c.net/de/7", None, "no scheme", "http://d.org", "http://evilorg/x", "x://h?q", "http://b.com/de/4/5/6/7/8.html"]
     pages = spark.createDataFrame([(k, u, "h", 1) for k, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string, salt int")
