@@ -11,6 +11,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -493,6 +494,29 @@ def test_url_templates_learn(spark):
     assert {x.template for x in r.values()} == {"/ads/*.html", "/news/*.html"}
 
 
+def test_url_templates_of_unlabelled_hosts(spark):
+    # labels on some hosts only: pages of other hosts are judged by the same templates; one host is bad throughout
+    rows = [(k, f"http://h{k % 20}.net/{('ads', 'news', 'blog')[k % 3]}/a/b/c/d/e{k % 7}/x", k % 3 == 0 or k % 20 == 7 if k % 20 < 12 else None) for k in range(1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    r = {x.page_id: x for x in url_filter.judge_urls(pages, [], bad=F.col("bad")).collect()}
+    assert all((r[k].verdict == "block") == (k % 3 == 0 or k % 20 == 7) for k in range(1200))
+    assert {x.template for x in r.values()} == {f"/{s}/a/b/c/d/*/x" for s in ("ads", "news", "blog")}
+    assert len({x.purity for x in r.values()}) > 3
+
+
+def test_url_rules_against_sql(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
+    longest = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    want = duckdb.sql(f"""
+        with t as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from '{path}'),
+        h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) as path from t)
+        select page_id, host, path, case {' '.join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in longest)} end as rule from h""").fetchall()
+    got = url_filter.judge_urls(spark.read.parquet(path), [url_filter.Rule(*r) for r in rules])
+    assert counted(got.select("page_id", "host", "path", "rule").collect()) == counted(want)
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(5)
     rows = [(k, " ".join([*words(60, 7000 + k), *(r.sample(["vilex", "scumx", "trashx"], 3 - k % 2) if k % 5 == 0 else [])])) for k in range(600)]
