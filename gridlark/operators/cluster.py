@@ -30,12 +30,11 @@ def intra_cluster(points: DataFrame, n_dims: int) -> DataFrame:
     return p.groupBy("key").agg((F.sum(s / F.col("n"))).alias("loss"))
 
 
-def silhouette(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(key, silhouette) from distances (query, ref, dist) over all ordered pairs and (key, cluster)."""
-    a = clusters.select(F.col("key").alias("query"), F.col("cluster").alias("ca"))
-    b = clusters.select(F.col("key").alias("ref"), F.col("cluster").alias("cb"))
-    m = pairs.where("query <> ref").join(a, "query").join(b, "ref").groupBy("query", "ca", "cb").agg(F.avg("dist").alias("d"))
-    s = m.groupBy("query").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("a"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("b"))
+def silhouette(means: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(key, silhouette) from mean distances (query, cluster, mean) to each cluster and (key, cluster)."""
+    own = clusters.select(F.col("key").alias("query"), F.col("cluster").cast("long").alias("own"))
+    m = means.join(own, "query")
+    s = m.groupBy("query").agg(F.max(F.when(F.col("cluster") == F.col("own"), F.col("mean"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("own"), F.col("mean"))).alias("b"))
     return s.select(F.col("query").alias("key"), F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("silhouette"))
 
 

@@ -55,6 +55,25 @@ def logistic(train: DataFrame, test: DataFrame, alpha: float = 1.0, balanced: bo
     return fit.transform(_vectors(test)).withColumn("pred", F.get(vector_to_array("probability"), F.lit(1))).drop("__v", "rawPrediction", "probability", "prediction")
 
 
+def fit_linear_svm(train: DataFrame, penalty: float = 1.0):
+    """A linear support-vector machine on rows with vectors (__v); the penalty is that of a sum over rows."""
+    from pyspark.ml.classification import LinearSVC
+
+    n = max(train.where("label is not null").count(), 1)
+    return LinearSVC(featuresCol="__v", labelCol="label", regParam=1.0 / (penalty * n), maxIter=200, tol=1e-7, standardization=False).fit(train.where("label is not null"))
+
+
+def linear_svm(train: DataFrame, test: DataFrame, penalty: float = 1.0) -> DataFrame:
+    """Support-vector machine: test with pred, the distance from the separating plane. One class gives a constant."""
+    from pyspark.ml.functions import vector_to_array
+
+    low, high = train.agg(F.min("label"), F.max("label")).first()
+    if low == high:
+        return test.withColumn("pred", F.lit(low).cast("double"))
+    fitted = fit_linear_svm(_vectors(train), penalty).transform(_vectors(test))
+    return fitted.withColumn("pred", F.get(vector_to_array("rawPrediction"), F.lit(1))).drop("__v", "rawPrediction", "prediction")
+
+
 def forest(train: DataFrame, test: DataFrame, trees: int = 100, depth: int = 8, regression: bool = False, seed: int = 1) -> DataFrame:
     """Random forest with balanced weights: test with pred. One class gives a constant."""
     from pyspark.ml.classification import RandomForestClassifier

@@ -2,84 +2,107 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of queries that each task holds at once; more queries are dealt with in several passes over the references.
-QUERY_BYTES = 64 << 20
+#: Rows of either side that a task compares at once, about.
+BLOCK_ROWS = 4096
+#: Distances that are held at once within a task.
+_HELD = 1 << 22
+
+
+def _l1(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(q), len(r)))
+    for k in range(q.shape[1]):
+        out += np.abs(q[:, k, None] - r[None, :, k])
+    return out
 
 
 def _l2(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    d = r - q
-    return np.sqrt((d * d).sum(axis=1))
+    # rounded, so that equal vectors are equally far wherever they stand in a block
+    square = np.round((q * q).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None, :] - 2 * (q @ r.T), 12)
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _cosine(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    size = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((r * r).sum(axis=1))[None, :]
+    return np.maximum(0.0, np.round(1 - (q @ r.T) / (size + 1e-9), 12))
 
 
 def _tanimoto(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Union over intersection of 0/1 vectors, at most 10000; NaN if neither has a bit."""
-    both = r @ q
-    either = r.sum(axis=1) + q.sum() - both
+    both = q @ r.T
+    either = q.sum(axis=1)[:, None] + r.sum(axis=1)[None, :] - both
     return np.where(either == 0, np.nan, np.where(both == 0, 10000.0, np.minimum(10000.0, either / np.maximum(both, 1))))
 
 
-#: Distance of one query to all references of a batch.
-DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
-    "l1": lambda q, r: np.abs(r - q).sum(axis=1),
-    "l2": _l2,
-    "cosine": lambda q, r: np.maximum(0.0, 1 - (r @ q) / (np.sqrt((r * r).sum(axis=1)) * np.sqrt(q @ q) + 1e-9)),
-    "tanimoto": _tanimoto,
-}
+#: Distances of all queries of a block to all references of a block, a row for each query.
+DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"l1": _l1, "l2": _l2, "cosine": _cosine, "tanimoto": _tanimoto}
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
     return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _against(shared, metric: str, k: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
-        for batch in batches:
-            refs, vectors = batch.column("ref").to_numpy(), _matrix(batch.column("vector"))
-            for n in range(len(ids) if len(refs) else 0):
-                d = DISTANCES[metric](queries[n], vectors)
-                if k is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(refs), ids[n])), pa.array(refs), pa.array(d)], names=["query", "ref", "dist"])
-                else:
-                    d, r = np.concatenate([best[n][0], d]), np.concatenate([best[n][1], refs])
-                    top = np.lexsort((r, d))[:k]
-                    best[n] = d[top], r[top]
-        if k is not None:
-            sizes = [len(d) for d, _ in best]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([r for _, r in best])), pa.array(np.concatenate([d for d, _ in best]))], names=["query", "ref", "dist"])
+def _block_pairs(metric: str, k: int | None, by_group: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(queries: pa.Table, refs: pa.Table) -> pa.Table:
+        ids, found = refs.column("ref").to_numpy(), []
+        q, r = _matrix(queries.column("q")), _matrix(refs.column("r"))
+        names = queries.column("query").to_numpy()
+        if by_group:
+            groups, code = np.unique(refs.column("cluster").to_numpy(), return_inverse=True)
+            member = (code[:, None] == np.arange(len(groups))[None, :]).astype(np.float64)
+        step = max(1, _HELD // max(len(ids), 1))
+        for at in range(0, len(names) if len(ids) else 0, step):
+            name = names[at : at + step]
+            d = DISTANCES[metric](q[at : at + step], r)
+            if by_group:
+                other = name[:, None] != ids[None, :]
+                found.append((np.repeat(name, len(groups)), np.tile(groups, len(name)), (np.where(other, d, 0.0) @ member).ravel(), (other @ member).ravel().astype(np.int64)))
+            elif k is None:
+                found.append((np.repeat(name, len(ids)), np.tile(ids, len(name)), d.ravel()))
+            else:
+                top = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=-1)[:, :k]
+                found.append((np.repeat(name, top.shape[1]), ids[top].ravel(), np.take_along_axis(d, top, axis=1).ravel()))
+        kinds = {"query": np.int64, "cluster": np.int64, "total": np.float64, "n": np.int64} if by_group else {"query": np.int64, "ref": np.int64, "dist": np.float64}
+        return pa.table({c: np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=t) for i, (c, t) in enumerate(kinds.items())})
 
     return run
 
 
+def _crossed(queries: DataFrame, refs: DataFrame, metric: str, k: int | None, out: str) -> DataFrame:
+    """Compares every block of queries with every block of references; both are dealt to the tasks by hash."""
+    # columns of their own on both sides, as both may come from one table
+    queries = queries.select(F.col("query").cast("long").alias("query"), F.col("vector").alias("q")).where("q is not null")
+    refs = refs.select(F.col("ref").cast("long").alias("ref"), F.col("vector").alias("r"), *(F.col(c).cast("long").alias(c) for c in refs.columns if c == "cluster")).where("r is not null")
+    n_q, n_r = (1 + df.count() // BLOCK_ROWS for df in (queries, refs))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumn("qb", block("query", n_q)).withColumn("rb", all_of(n_r)).groupBy("qb", "rb")
+    right = refs.withColumn("rb", block("ref", n_r)).withColumn("qb", all_of(n_q)).groupBy("qb", "rb")
+    return left.cogroup(right).applyInArrow(_block_pairs(metric, k, "cluster" in out), out)
+
+
 def distances(queries: DataFrame, refs: DataFrame, metric: str = "l2", k: int | None = None) -> DataFrame:
     """(query, ref, dist) of (query, vector) and (ref, vector): all pairs, or the k nearest by (dist, ref).
 
-    The stated queries go to the tasks in blocks of bounded bytes; references stay where they are and keep k rows a
-    task and query, so only those are shuffled."""
-    spark = queries.sparkSession
-    table = queries.select(F.col("query").cast("long"), "vector").where("vector is not null").toArrow()
-    ids, matrix = table.column("query").to_numpy(), _matrix(table.column("vector"))
-    step = max(1, QUERY_BYTES // max(8, 8 * (matrix.shape[1] if len(ids) else 1)))
-    refs = refs.select(F.col("ref").cast("long"), "vector").where("vector is not null")
-    out = spark.createDataFrame([], "query long, ref long, dist double")
-    for at in range(0, len(ids), step):
-        shared = spark.sparkContext.broadcast((ids[at : at + step], matrix[at : at + step]))
-        part = refs.mapInArrow(_against(shared, metric, k), "query long, ref long, dist double")
-        out = part if at == 0 else out.union(part)
+    Both sides are dealt in blocks, so nothing reaches the driver; k rows leave a task for each of its queries."""
+    out = _crossed(queries.select("query", "vector"), refs.select("ref", "vector"), metric, k, "query long, ref long, dist double")
     return out if k is None else nearest(out, k)
 
 
+def distance_sums(queries: DataFrame, refs: DataFrame, metric: str = "l2") -> DataFrame:
+    """(query, cluster, mean) of (query, vector) and (ref, vector, cluster): mean distance of each query to each cluster,
+    itself left out. Distances are summed within the tasks, so no pair leaves them."""
+    sums = _crossed(queries.select("query", "vector"), refs.select("ref", "vector", "cluster"), metric, None, "query long, cluster long, total double, n long")
+    return sums.groupBy("query", "cluster").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+
+
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest references of each query; ties by reference."""
     w = Window.partitionBy("query").orderBy("dist", "ref")

@@ -31,11 +31,10 @@ def string_table(cells: DataFrame, index: str, column: str, columns: list, text:
     return cells.groupBy(index).pivot(column, columns).agg(F.array_join(F.array_sort(F.collect_list(text)), ""))
 
 
-def to_latex(table: pd.DataFrame) -> str:
-    """A LaTeX tabular of a small report table."""
-    head = " & ".join(map(str, table.columns)) + r" \\"
-    body = "\n".join(" & ".join("" if v is None else str(v) for v in row) + r" \\" for row in table.itertuples(index=False))
-    return f"\\begin{{tabular}}{{{'l' * len(table.columns)}}}\n{head}\n\\hline\n{body}\n\\end{{tabular}}\n"
+def latex_lines(header: list[str], rows: list[tuple]) -> list[str]:
+    """Lines of a LaTeX tabular of a small report table; missing values are blank."""
+    line = lambda cells: " & ".join("" if v is None else str(v) for v in cells) + r" \\"
+    return [f"\\begin{{tabular}}{{{'l' * len(header)}}}", line(header), *map(line, rows), r"\end{tabular}"]
 
 
 def linear_fit(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -90,6 +90,23 @@ def union_all(first: DataFrame, *rest: DataFrame) -> DataFrame:
     return first
 
 
+def concat_features(rows: DataFrame, blocks: dict[str, int]) -> DataFrame:
+    """Adds `features`: the blocks one after the other; fails on a block that hasn't its width."""
+    right = [F.when(F.size(c) == n, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} must have {n} values"))) for c, n in blocks.items()]
+    return rows.withColumn("features", F.concat(*right))
+
+
+def category_one_hot(rows: DataFrame, key: str, category: str, most: int = 499) -> DataFrame:
+    """(key, code, dim, x): one-hot categories, numbered in the order of the least key that has them; fails on more than
+    `most` of them."""
+    first = rows.groupBy(category).agg(F.min(key).alias("__first"))
+    # one row a category, of which there are at most `most`
+    numbered = first.withColumn("code", (F.row_number().over(Window.orderBy("__first", category)) - 1).cast("long")).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy()))
+    numbered = numbered.withColumn("__n", F.when(F.col("__n") <= most, F.col("__n")).otherwise(F.raise_error(F.lit(f"more than {most} categories")))).drop("__first")
+    dims = rows.join(numbered, category).withColumn("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    return dims.select(key, "code", "dim", F.when(F.col("dim") == F.col("code"), 1.0).otherwise(0.0).alias("x"))
+
+
 def top_mean(pairs: DataFrame, left: str, value: str, k: int = 5) -> DataFrame:
     """Mean of the k largest values of each left item."""
     w = Window.partitionBy(left).orderBy(F.col(value).desc(), *(c for c in pairs.columns if c not in (left, value)))

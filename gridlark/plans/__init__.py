@@ -1 +1,3 @@
+"""Registered queries; importing the package registers all of them."""
 
+from gridlark.plans import catalogue, experiments  # noqa: F401

@@ -393,7 +393,7 @@ def mean_pool(spark, sf):
 
 @query(_RES + " select vec_id, cast(dim as integer) as dim, round(coalesce(avg(case when pos < vec_id % 4 then x end), 0), 6) as x from r group by 1, 2")
 def pool_hard(spark, sf):
-    """Mean over selected residues, zeros where there are none."""
+    """Mean over selected residues, zeros where there are none."""
     m = residue_matrix(spark, sf)
     at = m.select("vec_id", F.explode(F.expr("filter(sequence(0, 3), p -> p < vec_id % 4)")).alias("pos"))
     return msa.pool_positions(m, at, "vec_id").select("vec_id", "dim", r6("x", "x"))
@@ -837,11 +837,18 @@ def sym_edges_min(spark, sf):
     return edges(spark, sf)
 
 
-@query(_EDGES + """, o as (select a, b from s where v < 2500), k1 as (select a from o group by 1 having count(*) >= 3), e1 as (select a, b from o where a in (select a from k1) and b in (select a from k1)),
-  k2 as (select a from e1 group by 1 having count(*) >= 3) select a, b from e1 where a in (select a from k2) and b in (select a from k2)""")
+_CORE_ROUNDS = 12
+_CORE = "with recursive_start as (select distinct 'p' || l_partkey as x, 's' || l_suppkey as y from lineitem where l_quantity <= 3), e0 as (select x as a, y as b from recursive_start union all select y, x from recursive_start)" + "".join(
+    f", k{n} as (select a from e{n - 1} group by 1 having count(*) >= 3), e{n} as (select a, b from e{n - 1} where a in (select a from k{n}) and b in (select a from k{n}))" for n in range(1, _CORE_ROUNDS + 1)
+)
+
+
+@query(_CORE + f" select a, b from e{_CORE_ROUNDS}")
 def kcore(spark, sf):
-    """Two rounds of dropping nodes with few neighbours."""
-    return neighbors.k_core(edges(spark, sf).where("v < 2500").select("a", "b"), 3, rounds=2)
+    """Nodes with fewer than three neighbours dropped until none is left; the SQL has twelve rounds, more than these tables need."""
+    raw = table(spark, sf, "lineitem").where("l_quantity <= 3").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")).distinct()
+    _shared(spark)  # rounds are written there
+    return neighbors.k_core(raw.union(raw.select("b", "a")), 3)
 
 
 _POINTS = "with f as (select vec_id as key, label as cluster, i as dim, case when (vec_id + i) % 11 <> 0 then cast(embedding[i] as double) end as x from embeddings, (select unnest(range(1, 65)) as i)), m as (select cluster, dim, avg(x) as m from f group by 1, 2)"
@@ -873,14 +880,14 @@ def cluster_avg(spark, sf):
     return cluster.intra_cluster(f, 64).select("key", r6("loss", "loss"))
 
 
-@query("""with d as (select a.vec_id as q, a.label as ca, b.label as cb, avg(list_distance(a.embedding::double[], b.embedding::double[])) as d from embeddings a join embeddings b on a.vec_id <> b.vec_id and a.vec_id % 5 = 0 group by 1, 2, 3),
+@query("""with d as (select a.vec_id as q, a.label as ca, b.label as cb, avg(list_distance(a.embedding::double[], b.embedding::double[])) as d from embeddings a join embeddings b on a.vec_id <> b.vec_id group by 1, 2, 3),
   s as (select q, max(case when ca = cb then d end) as a, min(case when ca <> cb then d end) as b from d group by 1)
   select q as key, round(case when a is null then 0 else (b - a) / nullif(greatest(a, b), 0) end, 6) as silhouette from s""")
 def silhouette(spark, sf):
-    """Silhouettes of one fold's items among all."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
-    d = neighbors.distances(e.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query"), e.withColumnRenamed("vec_id", "ref"), "l2")
-    return cluster.silhouette(d, e.select(F.col("vec_id").alias("key"), F.col("label").alias("cluster"))).select("key", r6("silhouette", "silhouette"))
+    """Silhouettes of all items, distances summed by cluster within the tasks."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.col("label").alias("cluster"))
+    means = neighbors.distance_sums(e.withColumnRenamed("vec_id", "query"), e.withColumnRenamed("vec_id", "ref"))
+    return cluster.silhouette(means, e.select(F.col("vec_id").alias("key"), "cluster")).select("key", r6("silhouette", "silhouette"))
 
 
 @query("""with c as (select p_brand as a, p_type as b, cast(count(*) as double) as n from part group by 1, 2), j as (select sum(n * (n - 1) / 2) as j, sum(n) as n from c), l as (select sum(n * (n - 1) / 2) as l from (select sum(n) as n from c group by a)), r as (select sum(n * (n - 1) / 2) as r from (select sum(n) as n from c group by b))
@@ -901,7 +908,7 @@ def mutual_information(spark, sf):
 
 @query("select o_orderkey, c_mktsegment from orders join customer on o_custkey = c_custkey")
 def keyed_lookup(spark, sf):
-    """Lookup that fails on a missing key."""
+    """Lookup that fails on a missing key."""
     found = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     return reshape.lookup(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), found, "o_custkey", "c_mktsegment").select("o_orderkey", "c_mktsegment")
 
@@ -920,13 +927,13 @@ def fuse(spark, sf):
 
 @query("select o_custkey % 50 as k from orders intersect select s_suppkey % 60 from supplier")
 def label_intersection(spark, sf):
-    """Labels that two frames share."""
+    """Labels that two frames share."""
     return table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("k")).intersect(table(spark, sf, "supplier").select(F.col("s_suppkey") % 60))
 
 
 @query("select p_type as ds, p_brand as method, case when p_size > 25 then 'large' when p_name like 'red%' then 'red' else p_type || '-' || p_brand end as model_name, case when p_retailprice > 1500 then 1 else 0 end as hit from part")
 def model_names(spark, sf):
-    """Names and flags by cases."""
+    """P10: names and flags by cases."""
     name = F.when(F.col("p_size") > 25, "large").when(F.col("p_name").startswith("red"), "red").otherwise(F.concat_ws("-", "p_type", "p_brand"))
     return table(spark, sf, "part").select(F.col("p_type").alias("ds"), F.col("p_brand").alias("method"), name.alias("model_name"), F.when(F.col("p_retailprice") > 1500, 1).otherwise(0).alias("hit"))
 
@@ -938,6 +945,8 @@ def _shared(spark: SparkSession) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="gridlark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/files-{uuid.uuid4().hex}"
@@ -956,7 +965,7 @@ def ref_parse(spark, sf):
     """Structure references written and parsed; positions start at 0."""
     path = _shared(spark)
     text = F.concat(F.lit("header\n"), F.upper(F.regexp_replace("name", "[^a-z]", "")), F.lit("\n(1,'"), F.upper(F.substring("name", 1, 1)), F.lit("')"))
-    names(spark, sf).repartition(8, "name").select(text.alias("value")).where("value is not null").limit(1).write.text(path)
+    names(spark, sf).repartition(8, "name").select(text.alias("value")).where("value is not null").write.option("maxRecordsPerFile", 1).text(path)
     return files.read_references(spark, path)
 
 

@@ -29,9 +29,18 @@ def test_alphabet(spark):
 def test_tanimoto():
     v = lambda s: np.array([float(c) for c in s])
     d = neighbors.DISTANCES["tanimoto"]
-    assert d(v("1100"), v("1000")[None])[0] == 2
-    assert d(v("1100"), v("0001")[None])[0] == 10000
-    assert math.isnan(d(v("00"), v("00")[None])[0])
+    assert d(v("1100")[None], v("1000")[None])[0, 0] == 2
+    assert d(v("1100")[None], v("0001")[None])[0, 0] == 10000
+    assert math.isnan(d(v("00")[None], v("00")[None])[0, 0])
+
+
+def test_distances_are_those_of_single_vectors():
+    rng = np.random.default_rng(1)
+    q, r = rng.normal(size=(7, 5)), rng.normal(size=(9, 5))
+    r[3] = q[2]
+    for name, one in (("l1", lambda a, b: np.abs(a - b).sum()), ("l2", lambda a, b: np.linalg.norm(a - b)), ("cosine", lambda a, b: max(0.0, 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-9)))):
+        assert np.allclose(neighbors.DISTANCES[name](q, r), [[one(a, b) for b in r] for a in q], atol=1e-6)
+    assert neighbors.DISTANCES["l2"](q, r)[2, 3] == 0
 
 
 def test_ranking_metrics(spark):
@@ -201,6 +210,38 @@ def test_nearest_in_blocks(spark, monkeypatch):
     q = spark.createDataFrame(rows[:6], "query long, vector array<double>")
     r = spark.createDataFrame(rows, "ref long, vector array<double>")
     whole = sorted(map(tuple, neighbors.distances(q, r, "l2", 3).select("query", "ref", "rank").collect()))
-    monkeypatch.setattr(neighbors, "QUERY_BYTES", 32)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 4)
     assert sorted(map(tuple, neighbors.distances(q, r, "l2", 3).select("query", "ref", "rank").collect())) == whole
     assert neighbors.distances(q.limit(0), r, "l2", 3).count() == 0
+
+
+def test_features_of_another_width_fail(spark):
+    df = spark.createDataFrame([([1.0], [2.0, 3.0])], "a array<double>, b array<double>")
+    assert reshape.concat_features(df, {"a": 1, "b": 2}).first().features == [1.0, 2.0, 3.0]
+    with pytest.raises(Exception, match="b must have 3"):
+        reshape.concat_features(df, {"a": 1, "b": 3}).collect()
+
+
+def test_too_many_categories_fail(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b")], "k int, c string")
+    assert {(r.k, r.code, r.dim, r.x) for r in reshape.category_one_hot(df, "k", "c").collect() if r.x} == {(1, 0, 0, 1.0), (2, 1, 1, 1.0), (3, 0, 0, 1.0)}
+    with pytest.raises(Exception, match="more than 1 categories"):
+        reshape.category_one_hot(df, "k", "c", most=1).collect()
+
+
+def test_stored_tables_are_built_once(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    for how in ({"a": 1}, {"a": 1}, {"a": 2}):
+        assert files.cached(spark, str(tmp_path), how, build).count() == 3
+    assert len(built) == 2
+
+
+def test_linear_svm(spark):
+    e = spark.createDataFrame([(i, [float(i % 2), i / 100], float(i % 2)) for i in range(80)], "id int, features array<double>, label double")
+    assert all((r.pred > 0) == (r.label == 1) for r in models.linear_svm(e.where("id < 60"), e.where("id >= 60")).collect())
+    assert {r.pred for r in models.linear_svm(e.where("label = 1"), e).collect()} == {1.0}
