@@ -1,9 +1,10 @@
 """Scores of texts under a log-bilinear language model trained by noise-contrastive estimation.
 
-The score of a token given the two before it is r_w . (c1 + c2) + b_w, with one table of context vectors for each
-place. Outputs are the `vocab` most frequent words, a class for all other words with the same hash of first and last
-byte, and the end of the text. Softmax over outputs normalises it; within a class, words share its probability by
-smoothed counts. So each token has a normalised probability, in batched matrix products.
+The score of a token is r_w . (c1 + c2 + c3) + b_w, with one table of context vectors for each place: the two tokens before
+it, and the last of the `MARKS` most frequent words before those, which reaches further back. Outputs are the `vocab` most
+frequent words, a class for all other words with the same hash of first and last two bytes, and the end of the text. Softmax
+over outputs normalises it; within a class, words share its probability by smoothed counts. So each token has a
+normalised probability, in batched matrix products.
 
 Passes over the texts: (1) counts of all words, combined per task before the shuffle; (2) noise-contrastive training,
 in which every task goes over all its training tokens from one common start (fitted on a bounded sample), and the
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm import kernel
@@ -25,7 +26,9 @@ from gridlark.llm.common import scratch, text_blocks
 
 BLOCK = 1 << 21
 #: Classes of words out of the vocabulary.
-CLASSES = 32
+CLASSES = 128
+#: Most frequent words that serve as the third context.
+MARKS = 64
 #: Words of the count table that every task gets; all others are joined.
 HEAD = 1 << 18
 #: Key of the end token.
@@ -39,7 +42,8 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Hashes and classes of the words of a block, and the number of words of each row."""
     starts, ends, counts = kernel.word_spans(data, offsets)
     lower = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    kinds = (lower[starts].astype(np.int64) + 7 * lower[ends - 1].astype(np.int64)) % CLASSES
+    before_last = lower[np.maximum(ends - 2, starts)].astype(np.int64)
+    kinds = (lower[starts].astype(np.int64) + 7 * lower[ends - 1].astype(np.int64) + 53 * before_last) % CLASSES
     return kernel.word_hashes(data, starts, ends).view(np.int64), kinds, counts
 
 
@@ -88,13 +92,15 @@ class Model:
     class_base: np.ndarray
     head: np.ndarray
     head_log: np.ndarray
+    mark: np.ndarray
+    end_log: float
 
     @property
     def size(self) -> int:
         return len(self.bias)
 
     def sequence(self, words: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Output numbers of all tokens with their ends, two marks before each row, and where the tokens are."""
+        """Output numbers of all tokens with their ends, and of the three contexts of each token."""
         at = np.searchsorted(self.vocab, words)
         at[at == len(self.vocab)] = 0
         known = self.vocab[at] == words if len(self.vocab) else np.zeros(len(words), dtype=bool)
@@ -106,40 +112,56 @@ class Model:
         full[begins + 2 + counts] = self.size - 1
         is_token = np.ones(len(full), dtype=bool)
         is_token[begins] = is_token[begins + 1] = False
-        return full, np.flatnonzero(is_token)
+        at = np.flatnonzero(is_token)
+        # the last mark before the two tokens, within the row
+        spot = np.maximum.accumulate(np.where(self.mark[full], np.arange(len(full)), -1)) if len(full) else full
+        spot = np.where(at >= 3, spot[at - 3], -1) if len(full) else spot
+        far = np.where(spot >= np.repeat(begins, counts + 1), full[spot], self.size)
+        return full[at], np.stack([full[at - 1], full[at - 2], far])
 
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        return self.contexts[0, context[0]] + self.contexts[1, context[1]] + self.contexts[2, context[2]]
 
-def _steps(model: Model, full: np.ndarray, at: np.ndarray, squares: list[np.ndarray], rng: np.random.Generator, rate: float, batch: int = 8192, n_noise: int = 32) -> None:
+
+def _tables(model: Model) -> list[np.ndarray]:
+    return [*model.contexts, model.outputs, model.bias[:, None]]
+
+
+def _steps(model: Model, words: np.ndarray, context: np.ndarray, squares: list[np.ndarray], rng: np.random.Generator, rate: float, batch: int = 8192, n_noise: int = 48) -> None:
     """Noise-contrastive steps over all given tokens, with noise words shared by a batch and adaptive rates."""
     cdf = np.cumsum(model.noise)
     log_noise = np.log(model.noise * n_noise + 1e-12).astype(np.float32)
-    for k in range(0, len(at), batch):
-        here = at[k : k + batch]
-        w, c1, c2 = full[here], full[here - 1], full[here - 2]
+    for k in range(0, len(words), batch):
+        w, c = words[k : k + batch], context[:, k : k + batch]
         v = np.searchsorted(cdf, rng.random(n_noise) * cdf[-1]).clip(0, model.size - 1)
-        h = model.contexts[0, c1] + model.contexts[1, c2]
+        h = model.hidden(c)
         r, rv = model.outputs[w], model.outputs[v]
         good = np.einsum("ij,ij->i", h, r) + model.bias[w] - log_noise[w]
         bad = h @ rv.T + (model.bias[v] - log_noise[v])
         g_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))
         g_bad = -1 / (1 + np.exp(np.clip(-bad, -30, 30)))
         dh = g_good[:, None] * r + g_bad @ rv
-        grads = [np.zeros_like(x) for x in (model.contexts[0], model.contexts[1], model.outputs, model.bias[:, None])]
-        for g, key, values in ((grads[0], c1, dh), (grads[1], c2, dh), (grads[2], w, g_good[:, None] * h), (grads[3], w, g_good[:, None])):
+        tables = _tables(model)
+        grads = [np.zeros_like(x) for x in tables]
+        for g, key, values in (*((grads[j], c[j], dh) for j in range(3)), (grads[3], w, np.concatenate([g_good[:, None] * h, g_good[:, None]], axis=1))):
             order = np.argsort(key.astype(np.uint16), kind="stable")
             ranked = key[order]
             first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            g[ranked[first]] += np.add.reduceat(values[order], first, axis=0)
-        np.add.at(grads[2], v, g_bad.T @ h)
-        np.add.at(grads[3], v, g_bad.sum(axis=0)[:, None])
-        for x, g, s in zip((model.contexts[0], model.contexts[1], model.outputs, model.bias[:, None]), grads, squares, strict=True):
-            g /= np.float32(np.sqrt(len(here)))
+            sums = np.add.reduceat(values[order], first, axis=0)
+            if g is grads[3]:
+                grads[4][ranked[first]] += sums[:, -1:]
+                sums = sums[:, :-1]
+            g[ranked[first]] += sums
+        np.add.at(grads[3], v, g_bad.T @ h)
+        np.add.at(grads[4], v, g_bad.sum(axis=0)[:, None])
+        for x, g, s in zip(tables, grads, squares, strict=True):
+            g /= np.float32(np.sqrt(len(w)))
             s += g * g
             x += np.float32(rate) * g / np.sqrt(s + np.float32(1e-2))
 
 
 def _fresh_squares(model: Model) -> list[np.ndarray]:
-    return [np.full_like(x, 1.0) for x in (model.contexts[0], model.contexts[1], model.outputs, model.bias[:, None])]
+    return [np.full_like(x, 1.0) for x in _tables(model)]
 
 
 def _copy(model: Model) -> Model:
@@ -154,9 +176,9 @@ def _trainer(shared, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             keep = ~rows.column("held_out").to_numpy(zero_copy_only=False)
             words, kinds, counts = _tokens(data, offsets)
             use = np.repeat(keep, counts)
-            full, at = model.sequence(words[use], kinds[use], counts[keep])
-            _steps(model, full, at, squares, rng, rate)
-            seen += len(at)
+            tokens, context = model.sequence(words[use], kinds[use], counts[keep])
+            _steps(model, tokens, context, squares, rng, rate)
+            seen += len(tokens)
         if seen:
             flat = np.concatenate([x.ravel() for x in (model.contexts, model.outputs, model.bias)]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen, dtype=np.int64))], names=["k", "x", "n"])
@@ -164,43 +186,43 @@ def _trainer(shared, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return train
 
 
+def log_probabilities(model: Model, contexts: np.ndarray, words: np.ndarray, which: np.ndarray, at_once: int = 2048) -> np.ndarray:
+    """Natural log probabilities of outputs `words`, each after the column `which` of the contexts, in batched matrix
+    products over all outputs."""
+    out, order = np.empty(len(words)), np.argsort(which, kind="stable")
+    edges = np.searchsorted(which[order], np.arange(0, contexts.shape[1] + at_once, at_once))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        s = model.hidden(contexts[:, k * at_once : (k + 1) * at_once]) @ model.outputs.T + model.bias
+        top = s.max(axis=1, keepdims=True)
+        log_z = top[:, 0] + np.log(np.exp(s - top).sum(axis=1))
+        here = order[a:b]
+        row = which[here] - k * at_once
+        out[here] = s[row, words[here]] - log_z[row]
+    return out
+
+
 def _scorer(shared, n_sum: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         wide = model.size + 1
-        log_z = np.full(wide * wide, np.nan, dtype=np.float32)
         for rows, data, offsets in text_blocks(batches, "text", BLOCK):
             words, kinds, counts = _tokens(data, offsets)
-            full, at = model.sequence(words, kinds, counts)
-            w, c1, c2 = full[at], full[at - 1], full[at - 2]
-            pair = c1 * wide + c2
-            seen = np.zeros(wide * wide, dtype=bool)
-            seen[pair] = True
-            new = np.flatnonzero(seen & np.isnan(log_z))
-            for k in range(0, len(new), 8192):
-                part = new[k : k + 8192]
-                s = (model.contexts[0, part // wide] + model.contexts[1, part % wide]) @ model.outputs.T + model.bias
-                top = s.max(axis=1)
-                log_z[part] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-            token = np.empty(len(at))
-            for k in range(0, len(at), 1 << 17):
-                q = slice(k, k + (1 << 17))
-                h = model.contexts[0, c1[q]] + model.contexts[1, c2[q]]
-                token[q] = np.einsum("ij,ij->i", h, model.outputs[w[q]]) + model.bias[w[q]] - log_z[pair[q]]
+            w, context = model.sequence(words, kinds, counts)
+            # tokens with the same contexts share their sums
+            _, first, same = np.unique((context[0] * wide + context[1]) * wide + context[2], return_index=True, return_inverse=True)
+            token = log_probabilities(model, context[:, first], w, same)
             token /= np.log(10)
             lengths = counts + 1
             first = np.cumsum(lengths) - lengths
-            is_end = np.zeros(len(at), dtype=bool)
+            is_end = np.zeros(len(w), dtype=bool)
             is_end[first + counts] = True
-            keys = np.full(len(at), END)
+            keys = np.full(len(w), END)
             keys[~is_end] = words
             spot = np.searchsorted(model.head, keys).clip(0, max(len(model.head) - 1, 0))
             known = model.head[spot] == keys if len(model.head) else np.zeros(len(keys), dtype=bool)
-            if END not in model.head:
-                known |= is_end
-            count_log = np.where(known, model.head_log[spot] if len(model.head) else -1.0, 0.0)
-            if END not in model.head:
-                count_log[is_end] = -1.0
+            known |= is_end  # the end's count is known apart from the head table
+            count_log = np.where(known, model.head_log[spot] if len(model.head) else 0.0, 0.0)
+            count_log[is_end] = model.end_log
             rare = (w >= len(model.vocab)) & ~is_end
             token += np.where(rare, model.class_base[np.where(rare, w - len(model.vocab), 0)] + count_log, 0.0)
             base = np.add.reduceat(count_log, first) - lengths * n_sum
@@ -234,13 +256,13 @@ def _head(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return word[order], kind[order].astype(np.int64), n[order]
 
 
-def log_bilinear_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", vocab: int = 511, dims: int = 16, start_tokens: int = 400_000, rate: float = 0.05) -> DataFrame:
+def log_bilinear_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", vocab: int = 511, dims: int = 24, start_tokens: int = 400_000, rate: float = 0.1) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows where the Column held_out is false. Tokens are words (A-Z lower-cased) and one end a text; null
     and empty texts are an end only. base_score is the smoothed unigram log10 probability, score the model's.
-    `start_tokens` bounds the sample of training tokens, taken from the first rows of a few partitions, that fits the
-    common start; counts and training cover all rows. Repeated rows and null ids are scored like any others; an empty
+    `start_tokens` bounds the sample that fits the common start: whole training texts with the least hashes of id and
+    text, as many as have so many tokens; counts and training cover all rows. Repeated rows and null ids are scored like any others; an empty
     table gives an empty result."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -265,20 +287,22 @@ def log_bilinear_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_
     size = len(noise)
     model = Model(
         vocab=head[top],
-        contexts=rng.normal(0, 0.1, (2, size + 1, dims)).astype(np.float32),
+        contexts=rng.normal(0, 0.1, (3, size + 1, dims)).astype(np.float32),
         outputs=rng.normal(0, 0.1, (size, dims)).astype(np.float32),
         bias=np.log(noise).astype(np.float32),
         noise=noise,
         class_base=-np.log10(class_n + _TAIL_MIX * (class_v + 1)),
         head=head,
         head_log=np.log10(head_n + 0.1),
+        mark=np.isin(np.arange(size + 1), np.lexsort((head[top], -head_n[top]))[:MARKS]),
+        end_log=float(np.log10(totals.get(-1, (0, 0))[0] + 0.1)),
     )
     for rows, data, offsets in text_blocks(_sample(docs, start_tokens), "text", BLOCK):
         found, kinds, per = _tokens(data, offsets)
-        full, at = model.sequence(found, kinds, per)
+        tokens, context = model.sequence(found, kinds, per)
         squares = _fresh_squares(model)
-        for _ in range(3):
-            _steps(model, full, at, squares, rng, rate, batch=2048)
+        for _ in range(5):
+            _steps(model, tokens, context, squares, rng, rate, batch=2048)
     start = spark.sparkContext.broadcast(model)
     parts = docs.mapInArrow(_trainer(start, rate), "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x"))
     found = parts.toArrow().to_pandas().sort_values("k")["x"].to_numpy()
@@ -297,7 +321,12 @@ def log_bilinear_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_
 
 
 def _sample(docs: DataFrame, tokens: int) -> Iterator[pa.RecordBatch]:
-    """A bounded sample of training rows for the common start: the first texts, each cut to a share of the sample."""
-    n = 400
-    rows = docs.where(~F.col("held_out")).select("held_out", F.substring("text", 1, 6 * tokens // n * 4).alias("text")).limit(n)
+    """A bounded sample of training rows for the common start: whole texts, those with the least hashes.
+
+    Texts of over a tenth of the sample's bytes are left out of it (not of training), which bounds what reaches the driver."""
+    most = 6 * tokens
+    some = docs.where(~F.col("held_out") & (F.octet_length("text") <= most // 10)).select("held_out", "text", F.xxhash64("id", "text").alias("h"))
+    rows = some.orderBy("h", "text").limit(400)
+    total = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("h", "text"))
+    rows = rows.withColumn("total", total).where(F.col("total") <= most).select("held_out", "text")
     return iter(rows.toArrow().combine_chunks().to_batches())

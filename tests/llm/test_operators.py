@@ -203,11 +203,51 @@ def test_model_learns_contexts(spark):
     assert (out.s - out.b) / out.n > 0.2
 
 
-def test_model_is_normalised():
+def _model(size=9, dims=4, words=5):
     rng = np.random.default_rng(0)
-    outputs, contexts, bias = rng.normal(size=(9, 4)), rng.normal(size=(2, 10, 4)), rng.normal(size=9)
-    s = (contexts[0, 3] + contexts[1, 5]) @ outputs.T + bias
-    assert np.exp(s - np.log(np.exp(s).sum())).sum() == pytest.approx(1)
+    return language_model.Model(vocab=np.sort(rng.integers(0, 2**62, words)), contexts=rng.normal(size=(3, size + 1, dims)).astype(np.float32), outputs=rng.normal(size=(size, dims)).astype(np.float32), bias=rng.normal(size=size).astype(np.float32), noise=np.full(size, 1 / size), class_base=np.zeros(language_model.CLASSES), head=np.zeros(0, dtype=np.int64), head_log=np.zeros(0), mark=np.arange(size + 1) < 2, end_log=0.0)
+
+
+def test_model_is_normalised():
+    model = _model()
+    contexts = np.array([[0, 3, 9], [9, 2, 9], [1, 9, 0]])
+    words, which = np.tile(np.arange(9), 3), np.repeat(np.arange(3), 9)
+    p = np.exp(language_model.log_probabilities(model, contexts, words, which, at_once=2)).reshape(3, 9)
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    for k in range(3):
+        s = sum(model.contexts[j, contexts[j, k]] for j in range(3)) @ model.outputs.T + model.bias
+        assert np.allclose(p[k], np.exp(s) / np.exp(s).sum(), atol=1e-5)
+
+
+def test_contexts_of_tokens():
+    model = _model(size=language_model.CLASSES + 6, words=5)
+    v, none, end = model.vocab, language_model.CLASSES + 6, language_model.CLASSES + 5
+    words = np.array([v[0], v[3], v[4], v[2], v[3], v[1]])
+    tokens, context = model.sequence(words, np.zeros(6, dtype=np.int64), np.array([5, 0, 1]))
+    assert tokens.tolist() == [0, 3, 4, 2, 3, end, end, 1, end]
+    assert context[0].tolist() == [none, 0, 3, 4, 2, 3, none, none, 1]
+    assert context[1].tolist() == [none, none, 0, 3, 4, 2, none, none, none]
+    assert context[2].tolist() == [none, none, none, 0, 0, 0, none, none, none]
+
+
+def test_end_is_counted_apart_from_the_head(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HEAD", 1)
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "doc_id long, text string")
+    out = {x.doc_id: x for x in language_model.log_bilinear_scores(df, F.col("doc_id") == 3, vocab=1).collect()}
+    n = math.log10(6 + 0.1 * 4)
+    assert out[3].n_known == 1 and math.isclose(out[3].base_score, math.log10(0.1) + math.log10(2.1) - 2 * n, rel_tol=1e-9)
+    assert out[1].n_known == 3 and math.isclose(out[1].base_score, 3 * (math.log10(2.1) - n), rel_tol=1e-9)
+
+
+def test_model_gains_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language_model.log_bilinear_scores(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0)
+    x = out.where("held_out").agg(((F.sum("score") - F.sum("base_score")) / F.sum("n_tokens")).alias("gain")).first()
+    assert x.gain > LEAST_GAIN
+
+
+#: Held-out gain a token over word counts, in log10.
+LEAST_GAIN = 0.1
 
 
 def test_line_dedup(docs, none, texts):
