@@ -92,4 +92,24 @@ ORACLES: dict[str, str] = {
         with t as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256 from documents),
         g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from t group by 1)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (text_sha256)""",
+    "op9_near_dedup": """
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+        s as materialized (select doc_id, list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as sh from w),
+        e as materialized (select doc_id, len(sh) as n, hash(x) as x from (select doc_id, sh, unnest(sh) as x from s)),
+        links as materialized (select a, b from (select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as common from e x join e y on x.x = y.x and x.doc_id <> y.doc_id
+            where 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) group by 1, 2) where 100 * common >= 80 * (na + nb - common)),
+        reach as (select doc_id as id, doc_id as r from documents union select id, b from reach join links on r = a),
+        c as (select id as doc_id, min(r) as component_id from reach group by 1)
+        select doc_id, cast(len(sh) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join c using (doc_id)""",
+    "op10_repeated_substrings": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        w as materialized (select doc_id, i, md5(substr(h, cast(2 * i + 1 as bigint), 400)) as k from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) as i from d)),
+        r as (select doc_id, i from w where k in (select k from w group by 1 having count(*) > 1)),
+        g as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end as opens from r),
+        runs as (select doc_id, min(i) as a, max(i) + 200 as b from (select doc_id, i, sum(opens) over (partition by doc_id order by i) as g from g) group by doc_id, g),
+        pieces as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as s, a as e from runs union all select doc_id, max(b), any_value(length(h) // 2) from runs join d using (doc_id) group by 1),
+        kept as (select doc_id, string_agg(substr(h, cast(2 * s + 1 as bigint), cast(2 * (e - s) as bigint)), '' order by s) as k from pieces join d using (doc_id) group by 1),
+        sums as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from runs group by 1)
+        select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+        from d left join sums using (doc_id) left join kept using (doc_id)""",
 }
