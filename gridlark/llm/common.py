@@ -97,7 +97,7 @@ def filter_rows(bits: DataFrame) -> DataFrame:
 def test_slots(rows: DataFrame, column: str, known: DataFrame, buckets: int, name: str) -> DataFrame:
     """Adds the boolean `name`: whether all bits of the column's key are set in `known` (bucket, words).
 
-    `known` has at most `buckets` rows of 4 KiB and `buckets` is at most MOST_ROWS, so it may be broadcast."""
+    `known` has at most `buckets` rows of 4 KiB and callers bound `buckets` (see filter_size), so it may be broadcast."""
     bucket, bits = slots(F.col(column), buckets)
     is_set = lambda bit: F.call_function("shiftright", F.get("words", F.floor(bit / WORD_BITS).cast("int")), bit % WORD_BITS).bitwiseAND(F.lit(1).cast("long")) == 1
     rows = rows.withColumn("bucket", bucket).join(F.broadcast(known), "bucket", "left")
@@ -108,9 +108,9 @@ def test_slots(rows: DataFrame, column: str, known: DataFrame, buckets: int, nam
 KEY_BITS, MOST_ROWS = 16, 4096
 
 
-def filter_size(n: int) -> int:
-    """Rows of a filter for n keys, up to MOST_ROWS; a filter of more keys lets more rows pass."""
-    return max(16, min(MOST_ROWS, -(-n * KEY_BITS // ROW_BITS)))
+def filter_size(n: int, most: int = MOST_ROWS) -> int:
+    """Rows of a filter for n keys, up to `most`; a filter of more keys lets more rows pass."""
+    return max(16, min(most, -(-n * KEY_BITS // ROW_BITS)))
 
 
 def mark_members(rows: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:

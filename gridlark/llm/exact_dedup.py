@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import ascii_lower, filter_rows, scratch, slots, test_slots
+from gridlark.llm.common import ascii_lower, filter_rows, filter_size, scratch, slots, test_slots
+
+#: Most rows of 4 KiB of the filter.
+MOST_FILTER = 1 << 14
+
 
 def repeat_filter(digests: DataFrame, column: str, buckets: int) -> DataFrame:
     """First pass: (bucket, words) with a bit for each slot that two or more rows hit.
@@ -16,20 +20,22 @@ def repeat_filter(digests: DataFrame, column: str, buckets: int) -> DataFrame:
     return filter_rows(hits.groupBy("bucket", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "bit"))
 
 
-def maybe_repeated(digests: DataFrame, column: str, buckets: int = 1024) -> DataFrame:
-    """Adds `maybe`: false only for rows whose digest no other row has.
+def maybe_repeated(digests: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+    """Adds `maybe`: false only for rows of the table whose digest no other row has.
 
-    The filter has at most buckets * 4 KiB (4 MiB by default), so it may be broadcast at any input size; when it is
-    full, more rows are taken for possibly repeated, and no result changes."""
-    return test_slots(digests, column, repeat_filter(digests, column, buckets), buckets, "maybe")
+    The filter has 16 bits a row up to MOST_FILTER rows of 4 KiB (64 MiB), so it may be broadcast at any input size; it is
+    written once. Beyond some ten million rows it fills up: more rows are taken for possibly repeated, and no result changes."""
+    buckets = buckets or filter_size(digests.count(), MOST_FILTER)
+    return test_slots(digests, column, scratch(repeat_filter(digests, column, buckets)), buckets, "maybe")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the largest id stays.
     Rows that also share the id are all kept or all dropped; a null id loses against any other and stays only where
-    all ids of its group are null. Other columns are not read; an empty table gives an empty result."""
+    all ids of its group are null. Other columns are not read; an empty table gives an empty result. A text has to fit a
+    task; only its digest is shuffled."""
     digest = F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)
     digests = scratch(docs.select(F.col(id_col).alias("id"), digest.alias("sha")))
     rows = maybe_repeated(digests, "sha", buckets)
