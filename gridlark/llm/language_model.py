@@ -186,18 +186,26 @@ def _trainer(shared, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return train
 
 
-def log_probabilities(model: Model, contexts: np.ndarray, words: np.ndarray, which: np.ndarray, at_once: int = 2048) -> np.ndarray:
+def log_probabilities(model: Model, contexts: np.ndarray, words: np.ndarray, which: np.ndarray, at_once: int = 512) -> np.ndarray:
     """Natural log probabilities of outputs `words`, each after the column `which` of the contexts, in batched matrix
-    products over all outputs."""
+    products over all outputs; a batch stays within the processor's cache."""
     out, order = np.empty(len(words)), np.argsort(which, kind="stable")
     edges = np.searchsorted(which[order], np.arange(0, contexts.shape[1] + at_once, at_once))
+    outputs = np.ascontiguousarray(model.outputs.T)
     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        s = model.hidden(contexts[:, k * at_once : (k + 1) * at_once]) @ model.outputs.T + model.bias
-        top = s.max(axis=1, keepdims=True)
-        log_z = top[:, 0] + np.log(np.exp(s - top).sum(axis=1))
+        s = model.hidden(contexts[:, k * at_once : (k + 1) * at_once]) @ outputs
+        s += model.bias
         here = order[a:b]
         row = which[here] - k * at_once
-        out[here] = s[row, words[here]] - log_z[row]
+        chosen = s[row, words[here]]
+        # exponentials of scores up to 60 neither overflow nor lose their sum; otherwise rows are shifted by their largest
+        top = s.max(axis=1)
+        if len(top) and -60 < top.min() and top.max() < 60:
+            top = np.zeros_like(top)
+        else:
+            s -= top[:, None]
+        np.exp(s, out=s)
+        out[here] = chosen - (top + np.log(s.sum(axis=1)))[row]
     return out
 
 

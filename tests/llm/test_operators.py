@@ -219,6 +219,13 @@ def test_model_is_normalised():
         assert np.allclose(p[k], np.exp(s) / np.exp(s).sum(), atol=1e-5)
 
 
+def test_large_scores_are_normalised():
+    model = _model()
+    model.bias[:] = 500.0 * np.arange(9) - 2000
+    p = language_model.log_probabilities(model, np.array([[0], [2], [1]]), np.arange(9), np.zeros(9, dtype=np.int64))
+    assert math.isclose(np.exp(p).sum(), 1, abs_tol=1e-5) and p[0] < -3000
+
+
 def test_contexts_of_tokens():
     model = _model(size=language_model.CLASSES + 6, words=5)
     v, none, end = model.vocab, language_model.CLASSES + 6, language_model.CLASSES + 5
