@@ -22,33 +22,39 @@ MOST_BROADCAST = 1 << 21
 
 def template_words(text: Column) -> Column:
     """Words of the template: placeholders for slots, the rest in lower case without punctuation."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{E000}-\x{E002}]", "")
-    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?!(?:{NO_NAMES.replace(' ', '|')})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+", NAME)
-    text = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, r"[0-9](?:[0-9]|[.,:/](?=[0-9]))*+", NUMBER), rf"(?i)(?<={NUMBER} )(?:{UNITS.replace(' ', '|')})\b", UNIT)).otherwise(text)
+    # the first test fails at most characters, so the others are seldom made
+    text = F.regexp_replace(_free(text), rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?!(?:{NO_NAMES.replace(' ', '|')})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+", NAME)
+    text = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, r"[0-9](?:[0-9]|[.,:/](?=[0-9]))*+", NUMBER), rf"(?i){NUMBER} (?:{UNITS.replace(' ', '|')})\b", f"{NUMBER} {UNIT}")).otherwise(text)
     return _words(F.regexp_replace(text, r"[^\p{L}\p{N}\s\x{E000}-\x{E002}]+", ""))
 
 
 def plain_words(text: Column) -> Column:
     """The words themselves, one for each template word."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{E000}-\x{E002}]", "")
-    return _words(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", ""))
+    return _words(F.regexp_replace(_free(text), r"[^\p{L}\p{N}\s]+", ""))
+
+
+def _free(text: Column) -> Column:
+    """The text without characters that stand for slots; null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.contains(NUMBER) | text.contains(NAME) | text.contains(UNIT), F.regexp_replace(text, r"[\x{E000}-\x{E002}]", "")).otherwise(text)
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
+
+
+def window(words: Column, start: Column, width: int, kind: str) -> Column:
+    """The hash of the `width` words from `start` on."""
+    return F.xxhash64(F.lit(kind), *(F.get(words, start + k) for k in range(width)))
 
 
-def hashed(words: Column) -> Column:
-    """A hash of each word, so that a window is hashed from numbers and not from copies of its words."""
-    return F.transform(words, lambda w: F.xxhash64(w))
+def windows(words: Column, width: int, kind: str) -> Column:
+    """Hashes of all windows of `width` words."""
+    return F.transform(_starts(width, F.size(words)), lambda i: window(words, i, width, kind))
 
 
-def windows(hashes: Column, width: int, salt: str | None = None) -> Column:
-    """Hashes of all windows of `width` words, from hashed()."""
-    more = [] if salt is None else [F.lit(salt)]
-    n = F.size(hashes) - (width - 1)
-    each = F.transform(hashes, lambda h, i: F.xxhash64(*more, h, *(F.get(hashes, i + k) for k in range(1, width))))
-    return F.when(n > 0, F.slice(each, F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+def _starts(width: int, n: Column) -> Column:
+    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 5, share: float = 0.8) -> DataFrame:
@@ -59,29 +65,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     and null ids, items or texts match nothing. All windows of documents are looked up, of templates and of the words
     themselves; pairs with fewer common windows than either share asks for are not compared."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), template_words(F.col("text")).alias("it"), plain_words(F.col("text")).alias("ip"))
-    items = scratch(items.withColumns({"ith": hashed(F.col("it")), "iph": hashed(F.col("ip"))}))
-    items = scratch(items.withColumns({"iw": windows(F.col("ith"), width), "ipw": windows(F.col("iph"), width)}).where(F.size("iw") > 0))
+    items = scratch(items.withColumns({"iw": windows(F.col("it"), width, "t"), "ipw": windows(F.col("ip"), width, "p")}).where(F.size("iw") > 0))
     n_windows = items.agg(F.sum(F.size("iw"))).first()[0]
     # both kinds of windows; a share asks for so many different ones
-    sides = [items.select("item_id", F.array_distinct(windows(F.col(f"{w}h"), width, w)).alias("w")) for w in ("it", "ip")]
+    sides = [items.select("item_id", F.array_distinct(w).alias("w")) for w in ("iw", "ipw")]
     lookup = sides[0].withColumn("kind", F.lit(0)).union(sides[1].withColumn("kind", F.lit(1)))
     lookup = lookup.select("item_id", "kind", (F.size("w") * F.lit(share) - 1e-6).alias("least"), F.explode("w").alias("h"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # words are columns of their own, so that they are made once a text and not once a window
+    # the generator names both columns of words, so that generated code makes them once a text and not once a window
     words = texts.select("id", template_words(F.col("text")).alias("it"), plain_words(F.col("text")).alias("ip"))
-    words = words.select("id", hashed(F.col("it")).alias("ith"), hashed(F.col("ip")).alias("iph"))
-    seen = words.select("id", F.explode(F.array_distinct(F.concat(windows(F.col("ith"), width, "it"), windows(F.col("iph"), width, "ip")))).alias("h"))
+    starts = words.select("id", "it", "ip", F.explode(_starts(width, F.least(F.size("it"), F.size("ip")))).alias("i"))
+    seen = starts.select("id", F.explode(F.array(window(F.col("it"), F.col("i"), width, "t"), window(F.col("ip"), F.col("i"), width, "p"))).alias("h"))
     if 2 * (n_windows or 0) <= MOST_BROADCAST:
         lookup = F.broadcast(lookup)
     else:
         seen = mark_members(seen, "h", scratch(lookup.select("h").distinct()), "maybe").where("maybe").select("id", "h")
-    common = seen.join(lookup, "h").groupBy("id", "item_id", "kind").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least"))
+    common = seen.join(lookup, "h").groupBy("id", "item_id", "kind").agg(F.count_distinct("h").alias("c"), F.min("least").alias("least"))
     pairs = scratch(common.where("c >= least").select("id", "item_id").distinct())
     some = mark_members(texts, "id", pairs.select("id"), "wanted").where("wanted").drop("wanted").join(pairs.select("id").distinct(), "id", "left_semi")
     some = some.select("id", template_words(F.col("text")).alias("dt"), plain_words(F.col("text")).alias("dp"))
-    some = some.withColumns({"dth": hashed(F.col("dt")), "dph": hashed(F.col("dp"))})
-    some = some.withColumns({"dw": windows(F.col("dth"), width), "dpw": windows(F.col("dph"), width)}).drop("dth", "dph")
-    both = some.join(pairs, "id").join(items.drop("ith", "iph"), "item_id")
+    some = some.withColumns({"dw": windows(F.col("dt"), width, "t"), "dpw": windows(F.col("dp"), width, "p")})
+    both = some.join(pairs, "id").join(items, "item_id")
     part = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_distinct(a))
     both = both.withColumns({"template_share": part(F.col("iw"), F.col("dw")), "plain_share": part(F.col("ipw"), F.col("dpw"))}).where(F.greatest("template_share", "plain_share") >= share)
     # the item's place: the shift that most of its windows have

@@ -608,3 +608,27 @@ def test_words_are_the_same_in_every_block():
     h = [kernel.word_hashes(d, *kernel.word_spans(d, np.array([0, len(d)]))[:2]) for d in (one, two)]
     assert list(h[0][:2]) == list(h[1][1:])
     assert list(kernel.word_spans(one, np.array([0, 3, len(one)]))[2]) == [1, 3]
+
+
+def test_template_words_are_as_many_as_plain_words(spark):
+    # slots at any place, characters that stand for slots, punctuation alone, units without a number
+    n, a, u = decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT
+    texts = ["Tom has 3 kg, Ann 4.5KG; kg 10:30 h", f"{n}xy {u} 7 kgs 7 kg", "McDonald Jean-Luc The Theo They're 'Eve' ÉMILE Émile", "-- 12 -- ... 1,000,000 MILES a1 B2", None, "", " \t\n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = {x.k: x for x in df.select("k", decontaminate.template_words(F.col("text")).alias("t"), decontaminate.plain_words(F.col("text")).alias("p")).collect()}
+    assert all(len(x.t) == len(x.p) for x in got.values())
+    assert got[0].t == [a, "has", n, u, a, f"{n}kg", "kg", n, u]
+    assert got[1].t == ["xy", n, "kgs", n, u]
+    assert got[2].t == [f"{a}donald", f"{a}{a}", "the", a, "theyre", a, "émile", a]
+    assert got[3].t == [n, n, u, f"a{n}", f"b{n}"]
+    assert not got[4].t and not got[5].t and not got[6].t
+
+
+def test_decontamination_of_long_texts(spark):
+    # words are made once a text, not once a window: seconds for 300,000 words
+    long, item = words(300_000, 77), " ".join(words(30, 78))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(0, " ".join([*long, item])), (1, " ".join(long))], "doc_id long, text string")
+    began = time.perf_counter()
+    assert {(r.id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(0, 1)}
+    assert time.perf_counter() - began < 60
