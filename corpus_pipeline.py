@@ -20,28 +20,39 @@ from gridlark.llm.toxicity import drop_toxic, graded_labels
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the ordinal model rejects."""
+    """Drops documents that the ordinal model rejects.
+
+    Null and empty texts stay; repeated rows are judged alike, null ids by their text. Empty in, empty out."""
     return drop_toxic(docs, graded_labels(table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; all rows stay, n_chars follows the text."""
+    """Takes repeated lines out of the texts; all rows stay, n_chars follows the text.
+
+    Of similar lines the first of the smallest id stays. Null ids and blank lines are left as they are; a null text has
+    null n_chars."""
     return drop_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8) keeps the smallest id."""
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8) keeps the smallest id.
+
+    Null, empty and blank texts and null ids are in no group and stay; rows that repeat an id stay or go together."""
     dropped = near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
     return without(docs, "doc_id", scratch(dropped))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item or a re-parameterised one."""
+    """Drops documents that hold a benchmark item or a re-parameterised one.
+
+    Null ids and null, empty or short texts stay; without items all rows stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all texts into sequences of 512 to 4096 tokens."""
+    """Packs all texts into sequences of 512 to 4096 tokens.
+
+    A null or empty text is one end token; longer texts than a sequence are cut into pieces, none is left out."""
     return pack(docs)
 
 

@@ -110,5 +110,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, all columns, whose document holds no benchmark item."""
+    """The rows of docs, all columns, whose document holds no benchmark item.
+
+    Null ids and null, empty or short texts hold none and stay. All rows of an id go if one of its texts holds an item;
+    a share equal to the one asked for counts as held. Texts of any length are read whole. Empty in, empty out."""
     return without(docs, id_col, scratch(leaks(docs, benchmark, id_col, **how).select("id").distinct()))

@@ -146,7 +146,10 @@ def score_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, reject_at: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that score_severity doesn't reject."""
+    """The rows of docs, all columns, that score_severity doesn't reject.
+
+    Null and empty texts have no words and stay, unless the fitted thresholds alone reject. Repeated rows and ids and
+    null ids are each judged by their own text; ties at the cut go. A text has to fit a task. Empty in, empty out."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(fitted(texts, labels, max_rows))
     names = docs.columns
