@@ -64,7 +64,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: SQL can express none of these methods; tests hold the stages against brute-force versions.
+#: SQL can't express the fitted and packing stages, so run() has none. Tests hold the operators against brute force and
+#: the stages against planted rows.
 ORACLE_SQL = None
 
 
