@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240611))
@@ -57,13 +58,40 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES_LOWER) -> np.ndarray:
     """64-bit hashes of words after lower-casing A-Z; equal words have equal hashes in every block."""
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODES_LOWER[data] * powers(_BASE, len(data)), out=total[1:])
+    np.cumsum(codes[data] * powers(_BASE, len(data)), out=total[1:])
     return mix((total[ends] - total[starts]) * powers(_INVERSE, len(data) + 1)[starts])
 
 
+def exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words as they are."""
+    return word_hashes(data, starts, ends, BYTE_CODES)
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all spans, one after another, and the offsets of each."""
+    sizes = ends - starts
+    offsets = np.zeros(len(sizes) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    return data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)], offsets
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A text of each row's words, joined by one space."""
+    # every word takes the byte after it along, which becomes the space; a row's last is cut off
+    padded = np.append(data, np.uint8(32))
+    joined, offsets = gathered(padded, starts, ends + 1)
+    joined[offsets[1:] - 1] = 32
+    last = np.cumsum(counts)
+    keep = np.ones(len(joined), dtype=bool)
+    keep[offsets[last[counts > 0]] - 1] = False
+    bounds = np.zeros(len(counts) + 1, dtype=np.int64)
+    bounds[1:] = offsets[last] - np.cumsum(counts > 0)
+    return pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(joined[keep]))]).cast(pa.string())
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `width` words within a row, and how many each row has; a shorter row is one shingle."""
     n_out = np.where(counts >= width, counts - width + 1, (counts > 0).astype(counts.dtype))
