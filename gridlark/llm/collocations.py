@@ -3,8 +3,9 @@
 1. Words, then pairs of frequent words, are counted, combined within each shard first. What is frequent goes to the tasks
    as a Bloom filter of bounded size; a full filter lets more through, the counts decide.
 2. Every shard builds a trie of its phrases of 2 to `longest` words, level by level, with a count at each node. A phrase
-   of which any pair is rare can't be frequent and gets no node. Tries are written in the order of their paths.
-3. They are merged by ranges of paths: equal paths of all shards meet in one range, in order, and their counts are added.
+   of which any pair is rare can't be frequent and gets no node. Tries are serialised in the order of their paths, cut by
+   ranges of their first two words.
+3. The parts of a range meet in a task, where equal paths are merged and their counts added.
 4. A walk over the merged trie, in order, has all ancestors of a node on its stack: their counts are those of the left
    parts. The right part of a cut is where the suffix links lead, a join on the phrase without its first words."""
 
@@ -30,6 +31,8 @@ _GAPS = _ENDS.copy()
 _GAPS[[32, 9]] = True
 #: Bytes of text that are cut into words at once, and words of a shard.
 BLOCK, SHARD = 1 << 20, 2_000_000
+#: Frequent pairs that a range of the merge has about, with all phrases that begin with them.
+RANGE_PAIRS = 256
 #: Bits for each key of a filter, and the most that a filter has (16 MiB), as powers of two.
 KEY_BITS, LEAST_LOG, MOST_LOG = 16, 13, 27
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A], dtype=np.uint64)
@@ -157,10 +160,11 @@ def _pair_counter(frequent: _Filter) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return count
 
 
-def trie_levels(words: np.ndarray, linked: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Nodes of the count trie of a shard, level by level: depth, a place where each begins, its count.
+def trie_levels(words: np.ndarray, linked: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The count trie of a shard, level by level from depth 2: parent, word and count of each node, in order of paths.
 
-    words: numbers from 0; linked: whether the next word may follow in a phrase."""
+    words: numbers from 0; linked: whether the next word may follow in a phrase. The parent of a node of depth 2 is a
+    word, of others the place of a node in the level before."""
     n_words = int(words.max(initial=0)) + 1
     at, node = np.arange(len(words)), words
     for depth in range(2, longest + 1):
@@ -168,28 +172,43 @@ def trie_levels(words: np.ndarray, linked: np.ndarray, longest: int) -> Iterator
         at, node = at[go], node[go]
         if not len(at):
             return
-        _, first, node, counts = np.unique(node * n_words + words[at + depth - 1], return_index=True, return_inverse=True, return_counts=True)
-        yield depth, at[first], counts
-
-
-def _trie_builder(frequent: _Filter, pairs: _Filter, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        found, node, counts = np.unique(node * n_words + words[at + depth - 1], return_inverse=True, return_counts=True)
+        yield found // n_words, found % n_words, counts
+
+
+def serialised(keys: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:
+    """A trie cut by ranges of its first two words: (range, parents, words, counts), lists with an item for each level.
+
+    Ranges are of equal width over the hash of the two words, whose whole subtree goes with them."""
+    out: dict[int, tuple[list, list, list]] = {}
+    home = place = None
+    for depth, (parent, word, count) in enumerate(levels, 2):
+        if depth == 2:
+            home = ((kernel.mix(keys[parent] * _PAIR + keys[word]) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            up = keys[parent]
+        else:
+            home, up = home[parent], place[parent].astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        there, first = np.unique(home[order], return_index=True)
+        place = np.empty(len(home), dtype=np.int64)
+        place[order] = np.arange(len(home)) - np.repeat(first, np.diff(np.append(first, len(home))))
+        for r, a, b in zip(there.tolist(), first, [*first[1:], len(home)], strict=True):
+            row = out.setdefault(r, ([], [], []))
+            for items, values in zip(row, (up, keys[word], count.astype(np.int64)), strict=True):
+                items.append(values[order[a:b]].tobytes())
+    columns = [pa.array([row[k] for row in out.values()], type=pa.list_(pa.binary())) for k in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(list(out), type=pa.int64()), *columns], names=["range", "parents", "words", "counts"])
+
+
+def _trie_builder(frequent: _Filter, pairs: _Filter, longest: int, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def shard() -> Iterator[pa.RecordBatch]:
-            if not size:
-                return
-            keys, linked = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            _, first, ids = np.unique(keys, return_index=True, return_inverse=True)
-            lang, text = pa.concat_arrays([x[2] for x in held]).take(pa.array(first)), pa.concat_arrays([x[3] for x in held]).take(pa.array(first))
-            levels = []
-            for depth, at, counts in trie_levels(ids, linked, longest):
-                phrase = pc.binary_join_element_wise(*(text.take(pa.array(ids[at + j])) for j in range(depth)), " ")
-                levels.append(pa.table({"lang": lang.take(pa.array(ids[at])), "phrase": phrase, "n": pa.array(counts.astype(np.int64))}))
-            if levels:
-                found = pa.concat_tables(levels)
-                yield from found.take(pc.sort_indices(found, sort_keys=[("lang", "ascending"), ("phrase", "ascending")])).combine_chunks().to_batches(max_chunksize=100_000)
+            if size:
+                keys, ids = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+                yield serialised(keys, list(trie_levels(ids, np.concatenate([x[1] for x in held]), longest)), ranges)
 
         for rows, data, offsets in text_blocks(batches, "text", BLOCK):
             words = _Words(rows, data, offsets)
@@ -198,7 +217,7 @@ def _trie_builder(frequent: _Filter, pairs: _Filter, longest: int) -> Callable[[
             linked[linked] = pairs.holds(words.pairs()[linked])
             used = linked.copy()
             used[1:] |= linked[:-1]
-            held.append((words.keys[used], linked[used], *words.texts(np.flatnonzero(used))))
+            held.append((words.keys[used], linked[used]))
             size += int(used.sum())
             if size > SHARD:
                 yield from shard()
@@ -208,6 +227,49 @@ def _trie_builder(frequent: _Filter, pairs: _Filter, longest: int) -> Callable[[
     return build
 
 
+def merged_tries(tries: list[tuple[list[bytes], list[bytes], list[bytes]]], min_count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Paths (word keys, a row each) and counts of the nodes of all tries of a range, level by level in order of paths;
+    nodes of less than min_count are left out."""
+    paths: list[np.ndarray] = []
+    for depth in range(2, 2 + max(len(t[0]) for t in tries)):
+        paths = [p if len(t[0]) > depth - 2 else None for p, t in zip(paths or [None] * len(tries), tries, strict=True)] if depth > 2 else [np.zeros(0)] * len(tries)
+        for k, (parents, words, _) in enumerate(tries):
+            if paths[k] is not None:
+                word = np.frombuffer(words[depth - 2], dtype=np.uint64)[:, None]
+                up = np.frombuffer(parents[0], dtype=np.uint64)[:, None] if depth == 2 else paths[k][np.frombuffer(parents[depth - 2], dtype=np.int32)]
+                paths[k] = np.hstack([up, word])
+        every = np.concatenate([p for p in paths if p is not None])
+        counts = np.concatenate([np.frombuffer(t[2][depth - 2], dtype=np.int64) for p, t in zip(paths, tries, strict=True) if p is not None])
+        order = np.lexsort(every.T[::-1])
+        every = every[order]
+        first = np.flatnonzero(np.append(True, (every[1:] != every[:-1]).any(axis=1)))
+        sums = np.add.reduceat(counts[order], first)
+        keep = sums >= min_count
+        yield every[first[keep]], sums[keep]
+
+
+def _merger(min_count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for paths, n in merged_tries(held, min_count):
+                ends = np.arange(len(paths) + 1, dtype=np.int32) * paths.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(paths.ravel().view(np.int64))), pa.array(n)], names=["path", "n"])
+
+        for rows in batches:
+            for r, *trie in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if r != at and held:
+                    yield from out()
+                    held = []
+                at = r
+                held.append(tuple(trie))
+        if held:
+            yield from out()
+
+    return merge
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds `lefts`, the counts of a node's ancestors from the first word on, to nodes in the order of their paths."""
     stack: list[tuple[str, int]] = []
@@ -232,11 +294,14 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     frequent = _filter_of(words.where("word is not null"))
     # this is only for the filter: pairs are counted anew, by their words, in the tries
     pairs = scratch(texts.mapInArrow(_pair_counter(frequent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"n >= {min_count}"))
-    tries = scratch(texts.mapInArrow(_trie_builder(frequent, _filter_of(pairs), longest), "lang string, phrase string, n long"))
-    merged = tries.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(f"n >= {min_count}")
-    nodes = scratch(merged.union(words.where("word is not null").select("lang", "word", "n")))
+    ranges = max(16, pairs.count() // RANGE_PAIRS)
+    tries = texts.mapInArrow(_trie_builder(frequent, _filter_of(pairs), longest, ranges), "range long, parents array<binary>, words array<binary>, counts array<binary>")
+    merged = scratch(tries.repartition("range").sortWithinPartitions("range").mapInArrow(_merger(min_count), "path array<long>, n long"))
+    spelled = merged.select("path", "n", F.posexplode("path").alias("at", "key")).join(words.where("word is not null").select("key", "lang", "word"), "key")
+    phrases = spelled.groupBy("path", "n").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    nodes = scratch(phrases.select("lang", "phrase", "n").union(words.where("word is not null").select("lang", "word", "n")))
     totals = scratch(words.where("word is null").select("lang", F.col("n").alias("total")))
-    discard(words, pairs, tries)
+    discard(words, pairs, merged)
     return nodes, totals
 
 
