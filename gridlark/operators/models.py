@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.functions.rand import uniform
+from gridlark.functions.rand import shuffle_key, uniform
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -191,13 +191,6 @@ def network_per_task(rows: DataFrame, task: str, key: str, members: int = 1, **h
     return rows.select(task, key, "role", "features", "label").groupBy(task).applyInPandas(run, f"{task} {kind[task]}, {key} {kind[key]}, pred double, spread double")
 
 
-def two_axis_features(a: np.ndarray, b: np.ndarray, dims: int, seed: int = 0) -> np.ndarray:
-    """Both axes projected to the same size and multiplied element by element."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    pa, pb = rng.normal(0, 1 / np.sqrt(a.shape[1]), (a.shape[1], dims)), rng.normal(0, 1 / np.sqrt(b.shape[1]), (b.shape[1], dims))
-    return (a @ pa) * (b @ pb)
-
-
 def gaussian_process(rows: DataFrame, task: str, key: str, scale: float = 1.0, noise: float = 1e-6) -> DataFrame:
     """(task, key, pred): regression with an RBF kernel for each task; needs a task's training rows in one worker."""
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -205,7 +198,7 @@ def gaussian_process(rows: DataFrame, task: str, key: str, scale: float = 1.0, n
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(pdf["features"].to_list()).astype(float), pdf["label"].to_numpy(dtype=float)
         fit, out = (pdf["role"].to_numpy() == "train") & ~np.isnan(y), pdf["role"].to_numpy() == "test"
-        kernel = lambda a, b: np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) / (2 * scale * scale))
+        kernel = lambda a, b: np.exp(-np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0) / (2 * scale * scale))
         pred = kernel(x[out], x[fit]) @ np.linalg.solve(kernel(x[fit], x[fit]) + noise * np.eye(int(fit.sum())), y[fit]) if fit.any() else np.full(int(out.sum()), np.nan)
         return pd.DataFrame({task: pdf[task][out], key: pdf[key][out], "pred": pred})
 
@@ -220,11 +213,24 @@ def balanced_sampler_weights(rows: DataFrame, task: str, key: str) -> DataFrame:
     return w.groupBy(key).agg(F.avg("w").alias("weight"))
 
 
-def grid(**choices: list) -> list[dict]:
-    """All combinations of the given lists."""
-    from itertools import product
+def weighted_draws(rows: DataFrame, key: str, weight: str, n: int, seed: int, ranges: int = 256) -> DataFrame:
+    """(key, draws): how often each row is drawn when n are drawn with replacement, in proportion to whole weights.
 
-    return [dict(zip(choices, values, strict=True)) for values in product(*choices.values())]
+    Rows are laid out by a hash of seed and key, each as long as its weight, and n points of equal distance are set on
+    the line: the total is exact, a row's share is off by less than one draw. Running sums are taken within `ranges`
+    ranges of the hash and shifted by those of the ranges before, so that no task sees all rows. Rows without a positive
+    weight are never drawn."""
+    h = shuffle_key(seed, key)
+    laid = rows.where(F.col(weight) > 0).select(key, F.col(weight).cast("decimal(20,0)").alias("__w"), h.alias("__h"), F.floor(F.conv(F.substring(h, 1, 6), 16, 10).cast("long") * ranges / F.lit(1 << 24)).alias("__range"))
+    sizes = laid.groupBy("__range").agg(F.sum("__w").alias("__size"))
+    every = Window.partitionBy()  # at most `ranges` rows
+    before = sizes.select("__range", (F.sum("__size").over(every.orderBy("__range")) - F.col("__size")).alias("__before"), F.sum("__size").over(every).alias("__total"))
+    upto = F.col("__before") + F.sum("__w").over(Window.partitionBy("__range").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lines = laid.join(F.broadcast(before), "__range").withColumn("__upto", upto.cast("decimal(26,0)")).withColumn("__total", F.col("__total").cast("decimal(26,0)"))
+    # points lie half a step in: floor((2 n at + total) / (2 total)) of them are before a place
+    points = lambda at: F.expr(f"(cast({2 * n} as decimal(12,0)) * ({at}) + __total) div (2 * __total)")
+    drawn = lines.select(key, (points("__upto") - points("__upto - __w")).alias("draws"))
+    return drawn.where("draws > 0")
 
 
 def loss_curve(rows: DataFrame, task: str, epochs: int, **how) -> DataFrame:
@@ -262,12 +268,3 @@ def save_model(model, path: str) -> None:
 
 def load_model(kind: type, path: str):
     return kind.load(path)
-
-
-#: Search spaces: lists are grids, pairs are ranges.
-SEARCH_SPACES = {
-    "knn": {"k": list(range(1, 11))},
-    "linear": {"log_alpha": list(range(-3, 5))},
-    "rf": {"depth": (1, 5), "trees": (1, 1000)},
-    "network": {"dropout": (0.0, 0.2), "decay": (0.0, 0.01), "hidden": list(range(10, 91, 20)), "layers": [1, 2], "rate": (1e-5, 1e-3)},
-}

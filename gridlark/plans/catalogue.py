@@ -15,6 +15,7 @@ from gridlark.functions import vectors as vx
 from gridlark.functions.rand import shuffle_key
 from gridlark.operators import cluster, metrics, models, msa, neighbors, report, reshape, scaling, splits
 from gridlark.sources import files
+from gridlark.sources.shared import shared_path as _shared
 from gridlark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -938,20 +939,6 @@ def model_names(spark, sf):
     return table(spark, sf, "part").select(F.col("p_type").alias("ds"), F.col("p_brand").alias("method"), name.alias("model_name"), F.when(F.col("p_retailprice") > 1500, 1).otherwise(0).alias("hit"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="gridlark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/files-{uuid.uuid4().hex}"
-
-
 @query()
 def fasta_roundtrip(spark, sf):
     """Aligned names written as FASTA and read again."""
