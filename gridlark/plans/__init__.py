@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from gridlark.plans import catalogue, experiments, modelling  # noqa: F401
+from gridlark.plans import alignments, catalogue, experiments, modelling  # noqa: F401
