@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from math import lgamma
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Terms of an expectation that are computed at once.
+STRETCH = 1 << 16
+
 
 def centroid_loss(points: DataFrame, n_dims: int, squared: bool = True) -> DataFrame:
     """(key, loss): distance of each point to its cluster's mean over present dimensions, scaled up to all: Euclidean
@@ -54,25 +59,39 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.try_divide(F.col("j") - expected, (F.col("l") + F.col("r")) / 2 - expected).alias("ari"))
 
 
+def _expected_terms(parts):
+    """The expected mutual information, times the number of class pairs, for each pair of class sizes."""
+    for pdf in parts:
+        out = []
+        for p, q, total, ways in zip(*(pdf[c].to_numpy(dtype=float) for c in ("p", "q", "total", "ways")), strict=True):
+            low, high = max(1.0, p + q - total), min(p, q)
+            log_ways = lgamma(p + 1) + lgamma(q + 1) + lgamma(total - p + 1) + lgamma(total - q + 1) - lgamma(total + 1) - lgamma(low + 1) - lgamma(p - low + 1) - lgamma(q - low + 1) - lgamma(total - p - q + low + 1)
+            found, at = 0.0, low
+            while at <= high:  # each term from the one before, a stretch of them at once
+                n = np.arange(at, min(high, at + STRETCH - 1) + 1)
+                steps = np.log((p - n) * (q - n) / ((n + 1) * (total - p - q + n + 1)), where=(p > n) & (q > n), out=np.full(len(n), -np.inf))
+                logs = log_ways + np.concatenate([[0.0], np.cumsum(steps[:-1])])
+                found += float((n / total * np.log(total * n / (p * q)) * np.exp(logs)).sum())
+                at, log_ways = at + STRETCH, logs[-1] + steps[-1]
+            out.append(ways * found)
+        yield pd.DataFrame({"expected": out})
+
+
 def adjusted_mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: mutual information of two labellings adjusted for chance (mean of entropies).
-
-    The contingency table is a table of classes, not of rows; the expectation is computed from its margins."""
-    spark = rows.sparkSession
-    cells = [(r["a"], r["b"], r["n"]) for r in _contingency(rows, a, b).collect()]
-    left, right = {}, {}
-    for x, y, n in cells:
-        left[x], right[y] = left.get(x, 0) + n, right.get(y, 0) + n
-    total = sum(left.values())
-    if not total:
-        return spark.createDataFrame([(None,)], "ami double")
-    mutual = sum(n / total * log(total * n / (left[x] * right[y])) for x, y, n in cells)
-    h = [-sum(v / total * log(v / total) for v in side.values()) for side in (left, right)]
-    expected = 0.0
-    for p in left.values():
-        for q in right.values():
-            for n in range(int(max(1, p + q - total)), int(min(p, q)) + 1):
-                ways = lgamma(p + 1) + lgamma(q + 1) + lgamma(total - p + 1) + lgamma(total - q + 1) - lgamma(total + 1) - lgamma(n + 1) - lgamma(p - n + 1) - lgamma(q - n + 1) - lgamma(total - p - q + n + 1)
-                expected += n / total * log(total * n / (p * q)) * exp(ways)
-    rest = (h[0] + h[1]) / 2 - expected
-    return spark.createDataFrame([((mutual - expected) / rest if abs(rest) > 1e-12 else 1.0,)], "ami double")
+    """One row: mutual information of two labellings adjusted for chance (mean of entropies); 1 where nothing is left to
+    adjust, null without rows.
+
+    The expectation depends on the sizes of classes alone: it is summed over pairs of different sizes, of which there
+    are at most 2 n, each weighed by how many classes have them."""
+    cells = _contingency(rows, a, b)
+    left, right = (cells.groupBy(c).agg(F.sum("n").alias(f"n{c}")) for c in ("a", "b"))
+    total = cells.agg(F.sum("n").alias("total"))
+    x = cells.join(left, "a").join(right, "b").crossJoin(F.broadcast(total))  # one row
+    mutual = x.agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("total") * F.col("n") / (F.col("na") * F.col("nb")))).alias("mutual"))
+    entropy = lambda side, c: side.crossJoin(F.broadcast(total)).agg((-F.sum(F.col(c) / F.col("total") * F.log(F.col(c) / F.col("total")))).alias(f"h{c}"))
+    sizes = lambda side, c, name: side.groupBy(F.col(c).alias(name)).agg(F.count(F.lit(1)).alias(f"w{name}"))
+    pairs = sizes(left, "na", "p").crossJoin(sizes(right, "nb", "q")).crossJoin(F.broadcast(total))
+    expected = pairs.select("p", "q", "total", (F.col("wp") * F.col("wq")).alias("ways")).repartition("p", "q").mapInPandas(_expected_terms, "expected double").agg(F.sum("expected").alias("expected"))
+    t = mutual.crossJoin(entropy(left, "na")).crossJoin(entropy(right, "nb")).crossJoin(expected)  # one row each
+    rest = (F.col("hna") + F.col("hnb")) / 2 - F.col("expected")
+    return t.select(F.when(F.abs(rest) > 1e-12, (F.col("mutual") - F.col("expected")) / rest).when(rest.isNotNull(), 1.0).alias("ami"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.operators.ranges import running_before
+
 
 def _confusion(y: str, p: str, cut: float) -> dict[str, Column]:
     hit, said = F.col(y) == 1, F.col(p) >= cut
@@ -33,16 +35,15 @@ def _by_score(facts: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
 
 def roc_auc(facts: DataFrame, by: list[str], y: str = "label", p: str = "pred") -> DataFrame:
     """auc_roc by rank sums, ties count half; null for a single class."""
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = _by_score(facts, by, y, p).withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    s = running_before(_by_score(facts, by, y, p), by, "score", ["n"]).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
     s = s.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     return s.select(*by, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc_roc"))
 
 
 def average_precision(facts: DataFrame, by: list[str], y: str = "label", p: str = "pred") -> DataFrame:
     """avg_pr: step-wise area over distinct scores; null without positives."""
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    s = _by_score(facts, by, y, p).select(*by, "pos", (F.sum("pos").over(down) / F.sum("n").over(down)).alias("precision"))
+    s = running_before(_by_score(facts, by, y, p), by, "score", ["n", "pos"], descending=True)
+    s = s.select(*by, "pos", ((F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))).alias("precision"))
     return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("avg_pr"))
 
 
@@ -50,9 +51,9 @@ def spearman(facts: DataFrame, by: list[str], y: str = "label", p: str = "pred")
     """Pearson's coefficient of average ranks; null for a constant side."""
 
     def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
-        below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        c = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c")).withColumn(name, F.coalesce(F.sum("c").over(below), F.lit(0)) + (F.col("c") + 1) / 2)
-        return df.join(c.drop("c"), [*by, value])
+        c = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+        c = running_before(c, by, value, ["c"]).withColumn(name, F.col("c_before") + (F.col("c") + 1) / 2)
+        return df.join(c.drop("c", "c_before"), [*by, value])
 
     rows = facts.where(F.col(y).isNotNull()).select(*by, F.col(y).alias("y"), F.col(p).alias("x"))
     r = ranked(ranked(rows, "y", "a"), "x", "b").groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))

@@ -898,7 +898,11 @@ def rand_index(spark, sf):
     return cluster.adjusted_rand(table(spark, sf, "part"), "p_brand", "p_type").select(r6("ari", "ari"))
 
 
-@query()
+@query("""with c as (select p_brand as a, p_type as b, cast(count(*) as double) as n from part group by 1, 2), l as (select a, sum(n) as p from c group by 1), r as (select b, sum(n) as q from c group by 1), t as (select sum(n) as t from c),
+  mi as (select sum(n / t * ln(t * n / (p * q))) as mi from c join l using (a) join r using (b), t), h as (select (select -sum(p / t * ln(p / t)) from l, t) as ha, (select -sum(q / t * ln(q / t)) from r, t) as hb),
+  e as (select sum(k / t * ln(t * k / (p * q)) * exp(lgamma(p + 1) + lgamma(q + 1) + lgamma(t - p + 1) + lgamma(t - q + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(p - k + 1) - lgamma(q - k + 1) - lgamma(t - p - q + k + 1))) as e
+    from (select p, q, t, cast(unnest(range(cast(greatest(1, p + q - t) as bigint), cast(least(p, q) as bigint) + 1)) as double) as k from l, r, t))
+  select round((mi - e) / ((ha + hb) / 2 - e), 6) as ami from mi, h, e""")
 def mutual_information(spark, sf):
     """Adjusted mutual information of two labellings."""
     return cluster.adjusted_mutual_information(table(spark, sf, "part"), "p_brand", "p_type").select(F.round("ami", 6).alias("ami"))
@@ -939,7 +943,7 @@ def model_names(spark, sf):
     return table(spark, sf, "part").select(F.col("p_type").alias("ds"), F.col("p_brand").alias("method"), name.alias("model_name"), F.when(F.col("p_retailprice") > 1500, 1).otherwise(0).alias("hit"))
 
 
-@query()
+@query("select distinct p_name as name, upper(rpad(p_name, 12, '-')) as aligned, upper(replace(rpad(p_name, 12, '-'), '-', '')) as seq from part")
 def fasta_roundtrip(spark, sf):
     """Aligned names written as FASTA and read again."""
     path = _shared(spark)
@@ -956,7 +960,7 @@ def ref_parse(spark, sf):
     return files.read_references(spark, path)
 
 
-@query()
+@query("select n_name, cast(null as varchar) as r_name, cast(null as varchar) as r_regionkey from nation union all select null, r_name, cast(r_regionkey as varchar) from region")
 def result_merge(spark, sf):
     """Result files of different columns merged by name."""
     path = _shared(spark)
@@ -965,7 +969,7 @@ def result_merge(spark, sf):
     return files.merge_results(spark, [path])
 
 
-@query()
+@query(_ROLES + " select g.sub as SUBSTRATES, cast(g.seq as varchar) as SEQ, 'label' as label, label as val, 0.5::double as pred, role as split, '0_0' as split_name from grid g join roles r on r.seq = g.seq and r.sub = g.sub where trial = 0 and fold = 0 and role = 'test'")
 def prediction_files(spark, sf):
     """Prediction facts as JSON lines; test rows read back."""
     path = _shared(spark)

@@ -4,7 +4,6 @@ Rows of part stand for result rows of experiments (see RESULTS)."""
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from gridlark.functions import text as tx
 from gridlark.functions.rand import shuffle_key
 from gridlark.operators import metrics, models, msa, naming, reshape
+from gridlark.operators.ranges import numbered
 from gridlark.plans.catalogue import _ALIGNED, _RES, BRANDS, FOLDS, GRID, MASKED, _shared, aligned, facts, grid, names, query, r6, residue_matrix
 from gridlark.sources import files
 from gridlark.sources.tables import table
@@ -95,11 +95,10 @@ def one_substrate(spark, sf):
 # --- projections --------------------------------------------------------------------------------------------------
 
 
-@query("select 'label_Brand#' || i as name, cast(row_number() over (order by 'label_Brand#' || i) as bigint) as place from (select unnest(range(1, 26)) as i)")
+@query(GRID + " select name, row_number() over (order by name) as place from (select distinct 'label_' || sub as name from grid)")
 def label_discovery(spark, sf):
-    """Names of label columns, those that are no known column, in alphabetical order."""
-    wide = reshape.pivot(grid(spark, sf), "seq", "sub", BRANDS)
-    return spark.createDataFrame([(c, k + 1) for k, c in enumerate(sorted(set(wide.columns) - {"seq"}))], "name string, place long")
+    """Names of the label columns of the pivoted grid, in alphabetical order."""
+    return numbered(grid(spark, sf).select(F.concat(F.lit("label_"), "sub").alias("name")).distinct(), ["name"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query("with m as (select vec_id, avg(cast(embedding[1] as double)) as f_0, avg(cast(embedding[2] as double)) as f_1, avg(cast(embedding[64] as double)) as f_63 from embeddings group by 1) select vec_id, round(f_0, 6) as f_0, round(f_1, 6) as f_1, round(f_63, 6) as f_63 from m")
@@ -178,7 +177,7 @@ def baseline_means(spark, sf):
 def sorted_results(spark, sf):
     """Summaries in the order of model and dataset."""
     m = results(spark, sf).groupBy("model", "path").agg(F.round(F.avg("score"), 4).alias("score"))
-    return m.withColumn("place", F.row_number().over(Window.orderBy("model", "path")).cast("long"))
+    return numbered(m, ["model", "path"], "place").withColumn("place", F.col("place") + 1)
 
 
 _TUNED = MASKED + FOLDS + ", rows as (select f.*, fold, trial from facts f join folds using (seq) where label is not null)"
@@ -209,12 +208,6 @@ def tuning_by_group(spark, sf):
     return each.groupBy("trial").agg(r6(F.avg("rmse"), "objective"), F.count(F.lit(1)).alias("groups"))
 
 
-@query("select cast(s as bigint) as step, round(case when s <= 10 then 1e-4::double + (1e-3::double - 1e-4::double) * s / 10 else 1e-3::double * pow(1e-5::double / 1e-3::double, (s - 10) / 40.0::double) end, 9) as rate from (select unnest(range(0, 51)) as s)")
-def learning_rates(spark, sf):
-    """Rates of a schedule with linear warm-up and exponential decay."""
-    return spark.createDataFrame([(s, round(models.warmup_rate(s, 10, 50, 1e-4, 1e-3, 1e-5), 9)) for s in range(51)], "step long, rate double")
-
-
 # --- features -----------------------------------------------------------------------------------------------------
 
 
@@ -261,8 +254,7 @@ def best_alignment(spark, sf):
 def length_batches(spark, sf):
     """Sequences by length in batches of eight."""
     n = names(spark, sf).withColumn("size", F.length("name").cast("long"))
-    # distinct sequences of one dataset, a bounded set
-    return n.withColumn("k", F.row_number().over(Window.orderBy("size", "name")) - 1).select("name", "size", F.floor(F.col("k") / 8).cast("long").alias("batch"))
+    return numbered(n, ["size", "name"], "k").select("name", "size", F.floor(F.col("k") / 8).cast("long").alias("batch"))
 
 
 @query("with n as (select distinct p_name as name from part) select name, cast(length(name) as bigint) as size, rpad(name, (select max(length(name)) from n)::integer, '_') as padded from n")
@@ -332,10 +324,10 @@ def grid_csv(spark, sf):
     path = _shared(spark)
     key = F.col("s_suppkey")
     cell = F.when(key % 4 != 0, F.col("s_acctbal").cast("string")).when(key % 8 == 0, "NaN")
-    rows = table(spark, sf, "supplier").select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("idx"), F.col("s_name").alias("SEQ"), F.col("s_nationkey").cast("string").alias("SUBSTRATES"), cell.alias("activity"), F.lit("x").alias("seq_features"))
-    files.export_rows(rows, path)
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("SEQ"), F.col("s_nationkey").cast("string").alias("SUBSTRATES"), cell.alias("activity"), F.lit("x").alias("seq_features"))
+    files.export_rows(numbered(rows, ["s_suppkey"], "idx").select("idx", "SEQ", "SUBSTRATES", "activity", "seq_features"), path)
     back = files.read_grid(spark, path, ["activity"])
-    return back.withColumn("place", (F.row_number().over(Window.orderBy("seq")) - 1).cast("long")).select("place", "seq", "sub", "activity")
+    return numbered(back, ["seq"], "place").select("place", "seq", "sub", "activity")
 
 
 @query(GRID + FOLDS + " select trial, fold, seq from folds")
@@ -377,27 +369,6 @@ def distance_cache(spark, sf):
     return files.cached(spark, root, {"distance": "levenshtein"}, lambda: build().where("false"))
 
 
-CONFIG = {"universal_args": {"seed": [1, 2], "model": ["knn"], "debug": [True]}, "iterative_args": [{"k": [1, 3, 5]}, {"model": ["ridge", "rf"], "note": [None], "debug": [False]}]}
-
-
-@query("""select cast(s as bigint) as seed, 'knn' as model, cast(k as bigint) as k, '--debug --k ' || k || ' --model knn --seed ' || s as flags from (select unnest([1, 2]) as s), (select unnest([1, 3, 5]) as k)
-  union all select s, m, null, '--model ' || m || ' --seed ' || s from (select unnest([1, 2]) as s), (select unnest(['ridge', 'rf']) as m)""")
-def config_runs(spark, sf):
-    """The runs of an experiment file, each with its command line."""
-    runs = files.expand_config(json.dumps(CONFIG))
-    return spark.createDataFrame([(r["seed"], r["model"], r.get("k"), files.flags(r)) for r in runs], "seed long, model string, k long, flags string")
-
-
-@query("select * from (values ('alpha', '10'), ('k', '3'), ('name', 'base')) t(name, value)")
-def params_override(spark, sf):
-    """Given arguments, overridden by those of a file, written and read again."""
-    path = _shared(spark)
-    files.write_json(spark, {"k": 3, "alpha": 10}, f"{path}/params")
-    files.write_json(spark, files.read_json(spark, f"{path}/params") | {}, f"{path}/args")
-    merged = {"name": "base", "k": 7} | files.read_json(spark, f"{path}/args")
-    return spark.createDataFrame([(k, str(v)) for k, v in sorted(merged.items())], "name string, value string")
-
-
 @query(RESULTS + ", m as (select model, round(avg(score), 2) as score from res group by 1) select cast(0 as bigint) as place, '\\begin{tabular}{ll}' as line union all select 1, 'model & score \\\\' union all select 1 + row_number() over (order by model), model || ' & ' || printf('%.2f', score) || ' \\\\' from m union all select 2 + (select count(*) from m), '\\end{tabular}'")
 def latex_table(spark, sf):
     """A table of summaries as LaTeX."""
