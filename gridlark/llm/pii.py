@@ -28,11 +28,11 @@ _AT, _DOT = r"(?:\x20?(?:\[at\]|\(at\)|\{at\})\x20?|\x20at\x20)", r"(?:\x20?(?:\
 #: Generators: written-out addresses, addresses with brackets or eight groups, digit groups of any usual form, long runs
 #: of letters and digits. They propose far more than is personal.
 WIDE = {
-    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_AT}[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}){{1,6}}|@[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,6}})",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{_AT}[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)++|@[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++)",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\x20\.\x20)[0-9]{1,3}){3})(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_\x20-]{1,2}[0-9]{2,6}){2,4}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.])(?:00[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,199}[0-9])(?=[0-9_/+=-]{0,199}[A-Za-z])[A-Za-z0-9_/+=-]{20,200}+(?![A-Za-z0-9_/+=-])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])(?=[0-9_/+=-]*+[A-Za-z])[A-Za-z0-9_/+=-]{20,}+",
 }
 WIDE_NEEDS = {"email": r"[\[({]at[\])}]|\x20at\x20|[\[({]dot[\])}]|\x20dot\x20", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]|[0-9][\[(\x20]", "card": r"[0-9][./_\x20-]{1,2}[0-9]", "phone": r"[0-9][)\x20./-]\x20?[0-9]", "secret": r"[0-9][A-Za-z]|[A-Za-z][0-9]"}
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -42,8 +42,45 @@ KEY = r"(?i)(?:token|secret|passw|pwd|passphrase|credential|bearer|api|key|auth)
 AGAINST = r"(?i)(?:order|version|ver|isbn|issn|serial|part|ref|invoice|no|nr|date|id|sku|page|pp|vol|build|doi|score|commit|sha[0-9]*|md5|digest|checksum)[^A-Za-z\n]{0,6}$"
 CONTEXT = 24
 FEATURES = ("kind", "digits", "letters", "separators", "kinds_of_separators", "length", "distinct", "luhn", "bytes", "address", "hex", "for", "key", "against", "parenthesis", "plus", "first_group", "year")
-#: Longest span that is scored; a wide span is never longer.
-MOST_LENGTH = 600
+#: Items of an array that are scanned at once, and the longest array whose items are all looked at to find one.
+BLOCK, SHORT = 64, 16
+
+
+def scan_sql(x: str, op: str, levels: int = 2) -> str:
+    """SQL of the running results of `op` ({a} with {b}) over an array of whole numbers from 0: block by block, then over
+    the blocks' last ones. An array grows by copying, so blocks bound what is copied; the work is linear up to arrays of
+    millions. An array of one binds a value that is used more than once."""
+    within = lambda a: f"aggregate({a}, cast(array() as array<int>), (acc, v) -> concat(acc, array({op.format(a='coalesce(try_element_at(acc, -1), 0)', b='v')})))"
+    if not levels:
+        return within(x)
+    a, k, t = (f"{name}{levels}" for name in ("all", "blocks", "sums"))
+    blocks = f"transform(sequence(0, cast(floor((size({a}) - 1) / {BLOCK}) as int)), at -> {within(f'slice({a}, at * {BLOCK} + 1, {BLOCK})')})"
+    before = f"transform(array({scan_sql(f'transform({k}, b -> element_at(b, -1))', op, levels - 1)}), {t} -> concat(array(0), slice({t}, 1, size({t}) - 1)))[0]"
+    joined = f"transform(array({blocks}), {k} -> flatten(zip_with({k}, {before}, (b, o) -> transform(b, v -> {op.format(a='o', b='v')}))))[0]"
+    return f"transform(array({x}), {a} -> case when size({a}) > 0 then {joined} else cast(array() as array<int>) end)[0]"
+
+
+def _meets_sql(spans: str, s: str) -> str:
+    """Whether s overlaps one of some spans that are in order and apart from each other: the last that begins before it
+    ends is the only one that can, and is found by halving."""
+    half = "cast(floor((r.low + r.high) / 2) as int)"
+    step = f"case when r.low >= r.high then r when {spans}[{half}].start < {s}.end then named_struct('low', {half} + 1, 'high', r.high) else named_struct('low', r.low, 'high', {half}) end"
+    last = f"transform(array(aggregate(sequence(1, 31), named_struct('low', 0, 'high', size({spans})), (r, z) -> {step}, r -> r.low)), n -> n > 0 and get({spans}, n - 1).end > {s}.start)[0]"
+    return f"case when size({spans}) <= {SHORT} then exists({spans}, b -> b.start < {s}.end and {s}.start < b.end) else {last} end"
+
+
+def _best_apart(rows: DataFrame, candidates: str, name: str) -> DataFrame:
+    """Adds `name` (start, k, end): of overlapping candidates (start, k, end, loss) those of least loss that don't
+    overlap a better one, in order. Only candidates of one stretch, whose spans hang together, are compared."""
+    plain = "s -> named_struct('start', s.start, 'k', s.k, 'end', s.end)"
+    by_loss = "array_sort(transform(part, s -> named_struct('loss', s.loss, 'start', s.start, 'k', s.k, 'end', s.end)))"
+    chosen = f"aggregate({by_loss}, cast(array() as array<struct<loss:double,start:int,k:int,end:int>>), (acc, s) -> case when exists(acc, b -> s.start < b.end and b.start < s.end) then acc else concat(acc, array(s)) end)"
+    rows = rows.withColumn("__all", F.array_sort(candidates)).withColumn("__reach", F.expr(scan_sql("transform(__all, s -> s.end)", "greatest({a}, {b})")))
+    rows = rows.withColumn("__opens", F.expr("case when size(__all) > 0 then filter(sequence(0, size(__all) - 1), i -> i = 0 or get(__all, i).start >= get(__reach, i - 1)) else cast(array() as array<int>) end"))
+    stretches = "transform(zip_with(__opens, concat(slice(__opens, 2, size(__opens)), array(size(__all))), (a, b) -> named_struct('a', a, 'b', b)), p -> slice(__all, p.a + 1, p.b - p.a))"
+    best = f"flatten(transform({stretches}, part -> case when size(part) = 1 then transform(part, {plain}) else transform({chosen}, {plain}) end))"
+    return rows.withColumn(name, F.expr(f"case when size(__all) > 0 then array_sort({best}) else cast(array() as array<struct<start:int,k:int,end:int>>) end")).drop("__all", "__reach", "__opens")
+
 
 def _luhn(digits: Column) -> Column:
     """Whether a string of digits passes Luhn's test."""
@@ -71,13 +108,23 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
     return F.when(text.rlike(needs), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def _spans(text: Column, pattern: str, matches: Column) -> Column:
-    """Array of (start, end, span) of the leftmost non-overlapping matches, in code points."""
-    none = F.array().cast("array<struct<start:int,end:int,span:string>>")
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("span")))
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    step = lambda acc, p: F.struct((acc.at + p.gap + p.size).alias("at"), F.concat(acc.out, F.array(F.struct((acc.at + p.gap).alias("start"), (acc.at + p.gap + p.size).alias("end"), p.span.alias("span")))).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, step, lambda acc: acc.out)).otherwise(none)
+def _pairs(text: Column, pattern: str, matches: Column) -> Column:
+    """Array of (gap, span, size): each match and the text between it and the one before."""
+    sized = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("span"), F.length(m).alias("size")))
+    return F.when(F.size(matches) > 0, sized).otherwise(F.array().cast("array<struct<gap:string,span:string,size:int>>"))
+
+
+def _spans(pairs: str, context: bool = False) -> Column:
+    """Array of (start, end, span) of the leftmost non-overlapping matches (a column of _pairs), in code points; with
+    context also `before`, up to CONTEXT characters before the span."""
+    ends = scan_sql(f"transform({pairs}, p -> length(p.gap) + p.size)", "{a} + {b}")
+    placed = f"zip_with({ends}, {pairs}, (e, p) -> named_struct('start', e - p.size, 'end', e, 'span', p.span))"
+    if not context:
+        return F.expr(placed)
+    own = f"transform({pairs}, (p, i) -> right(concat(case when i > 0 then right(get({pairs}, i - 1).span, {CONTEXT}) else '' end, right(p.gap, {CONTEXT})), {CONTEXT}))"
+    # a piece has a character at least, so that CONTEXT pieces are enough
+    back = f"transform(array({own}), t -> transform(t, (x, i) -> case when length(x) >= {CONTEXT} then x else right(array_join(slice(t, greatest(i - {CONTEXT - 2}, 1), least(i + 1, {CONTEXT})), ''), {CONTEXT}) end))[0]"
+    return F.expr(f"zip_with({placed}, {back}, (s, b) -> named_struct('start', s.start, 'end', s.end, 'span', s.span, 'before', b))")
 
 
 def _plain(kind: str, span: Column) -> Column:
@@ -135,9 +182,10 @@ def _candidates(rows: DataFrame) -> DataFrame:
     """(kind, span, before): all spans that base patterns and generators propose in rows (text)."""
     sources = [(k, n, p[k], needs[k]) for k in ALL_KINDS for n, p, needs in (("hit", BASE, NEEDS), ("far", WIDE, WIDE_NEEDS)) if k in p]
     wide = rows.select("text", *(_matches(F.col("text"), p, need).alias(f"{n}_{k}") for k, n, p, need in sources))
-    named = lambda k: lambda s: F.struct(F.lit(k).alias("kind"), s.span.alias("span"), _before(F.col("text"), s).alias("before"))
-    spans = [F.transform(_spans(F.col("text"), p, F.col(f"{n}_{k}")), named(k)) for k, n, p, _ in sources]
-    return wide.select(F.explode(F.concat(*spans)).alias("c")).select("c.*").where(F.length("span") <= MOST_LENGTH // 2)
+    paired = wide.select(*(_pairs(F.col("text"), p, F.col(f"{n}_{k}")).alias(f"pairs_{n}_{k}") for k, n, p, _ in sources))
+    spans = paired.select(*(_spans(f"pairs_{n}_{k}", context=True).alias(f"{n}_{k}") for k, n, _, _ in sources))
+    named = [F.expr(f"transform({n}_{k}, s -> named_struct('kind', '{k}', 'span', s.span, 'before', s.before))") for k, n, _, _ in sources]
+    return spans.select(F.explode(F.concat(*named)).alias("c")).select("c.*")
 
 
 def training_rows(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +268,6 @@ def tree_values(tree, x: np.ndarray) -> np.ndarray:
 # --- application --------------------------------------------------------------------------------------------------
 
 
-def _before(text: Column, s: Column) -> Column:
-    return F.substring(text, F.greatest(s.start - CONTEXT, F.lit(0)) + 1, F.least(s.start, F.lit(CONTEXT)))
-
-
 def _feature_columns(kind: str, span: Column, before: Column) -> list[Column]:
     plain = _plain(kind, span)
     digits = F.regexp_replace(plain, "[^0-9]", "")
@@ -233,13 +277,14 @@ def _feature_columns(kind: str, span: Column, before: Column) -> list[Column]:
     kinds = lambda c: F.size(F.array_distinct(F.split(c, ""))) - F.when(c == "", 1).otherwise(0)
     small = (F.size(groups) == 4) & F.forall(groups, lambda g: F.coalesce(g.try_cast("long"), F.lit(999)) < 256)
     address = plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
-    return [F.lit(float(ALL_KINDS.index(kind))), F.length(digits), F.length(F.regexp_replace(plain, "[^A-Za-z]", "")), F.length(seps), kinds(seps), F.length(span), kinds(plain), flag(_luhn(digits)), flag(small), flag(address), flag(plain.rlike("^[0-9A-Fa-f:]+$")), flag(before.rlike(FOR)), flag(before.rlike(KEY)), flag(before.rlike(AGAINST)), flag(span.contains("(")), flag(span.startswith("+")), F.coalesce(F.length(F.get(groups, F.lit(0))), F.lit(0)), flag(span.rlike(r"^(?:19|20)[0-9]{2}[^0-9]"))]
+    return [F.lit(float(ALL_KINDS.index(kind))), F.length(digits), F.length(F.regexp_replace(plain, "[^A-Za-z]", "")), F.length(seps), kinds(seps), F.length(span), kinds(plain), flag(F.when(F.length(digits) <= 19, _luhn(digits)).otherwise(False)), flag(small), flag(address), flag(plain.rlike("^[0-9A-Fa-f:]+$")), flag(before.rlike(FOR)), flag(before.rlike(KEY)), flag(before.rlike(AGAINST)), flag(span.contains("(")), flag(span.startswith("+")), F.coalesce(F.length(F.get(groups, F.lit(0))), F.lit(0)), flag(span.rlike(r"^(?:19|20)[0-9]{2}[^0-9]"))]
 
 
-def _tree_column(tree, features: list[Column]) -> Column:
+def tree_sql(tree, values: str) -> str:
+    """SQL of a tree over an array of features."""
     if not isinstance(tree, tuple):
-        return F.lit(tree)
-    return F.when(features[tree[0]] <= tree[1], _tree_column(tree[2], features)).otherwise(_tree_column(tree[3], features))
+        return f"{tree!r}D"
+    return f"case when {values}[{tree[0]}] <= {tree[1]!r}D then {tree_sql(tree[2], values)} else {tree_sql(tree[3], values)} end"
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_candidates: int = 4000) -> DataFrame:
@@ -255,29 +300,28 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fitted = fit_kinds(*training_rows(rows.select("text"), most_candidates))
     hits = rows.select("*", *(_matches(F.col("text"), p[k], needs[k]).alias(f"{n}_{k}") for k in ALL_KINDS for n, p, needs in (("hit", BASE, NEEDS), ("far", WIDE, WIDE_NEEDS)) if k in p))
-    found = hits.select("id", "text", *(_spans(F.col("text"), p[k], F.col(f"{n}_{k}")).alias(f"{to}_{k}") for k in ALL_KINDS for n, p, to in (("hit", BASE, "raw"), ("far", WIDE, "wide")) if k in p))
+    sources = [(k, n, p[k], to) for k in ALL_KINDS for n, p, to in (("hit", BASE, "raw"), ("far", WIDE, "wide")) if k in p]
+    paired = hits.select("id", *(_pairs(F.col("text"), p, F.col(f"{n}_{k}")).alias(f"pairs_{n}_{k}") for k, n, p, _ in sources))
+    found = paired.select("id", *(_spans(f"pairs_{n}_{k}", to == "wide").alias(f"{to}_{k}") for k, n, _, to in sources))
     order = lambda k, s: F.struct(s.start.alias("start"), F.lit(ALL_KINDS.index(k)).alias("k"), s.end.alias("end"))
     base_of = lambda k: F.transform(F.filter(f"raw_{k}", lambda s: _valid(k, s.span)), lambda s: order(k, s))
-    base = found.select("id", "text", *(base_of(k).alias(f"base_{k}") for k in KINDS), *(f"wide_{k}" for k in ALL_KINDS))
+    base = found.select("id", *(base_of(k).alias(f"base_{k}") for k in KINDS), *(f"wide_{k}" for k in ALL_KINDS))
     base = base.withColumn("base", F.array_sort(F.concat(*(F.col(f"base_{k}") for k in KINDS))))
-    overlap = lambda a, b: (a.start < b.end) & (b.start < a.end)
+
+    # the base spans of a kind are in order and apart
+    free = lambda k: F.expr(f"filter(wide_{k}, s -> not ({' or '.join(_meets_sql(f'base_{b}', 's') for b in KINDS)}))")
+    features = lambda k: lambda s: F.struct(F.array(*(c.cast("double") for c in _feature_columns(k, s.span, s.before))).alias("v"), s.start.alias("start"), s.end.alias("end"))
+    used = [k for k in ALL_KINDS if fitted[k][2] < float("inf")]
+    # features are computed once for a candidate, then all trees read them
+    each = base.withColumns({f"each_{k}": F.transform(free(k), features(k)) for k in used})
 
     def scored(k: str) -> Column:
         trees, start, threshold = fitted[k]
-        if threshold == float("inf"):
-            return empty
-        free = F.filter(f"wide_{k}", lambda s: ~F.exists("base", lambda b: overlap(b, s)))
-        features = lambda s: F.array(*(c.cast("double") for c in _feature_columns(k, s.span, _before(F.col("text"), s))))
-        # features are computed once for a candidate, then all trees read them
-        each = F.transform(free, lambda s: F.struct(features(s).alias("v"), s.start.alias("start"), s.end.alias("end")))
-        score = lambda c: reduce(lambda a, t: a + _tree_column(t, [F.get(c.v, F.lit(i)) for i in range(len(FEATURES))]), trees, F.lit(start))
-        each = F.transform(each, lambda c: F.struct((-score(c)).alias("loss"), c.start.alias("start"), F.lit(ALL_KINDS.index(k)).alias("k"), c.end.alias("end")))
-        return F.filter(each, lambda s: s.loss <= -threshold)
-
-    empty = F.array().cast("array<struct<loss:double,start:int,k:int,end:int>>")
-    more = base.withColumn("more", F.array_sort(F.concat(*(scored(k) for k in ALL_KINDS))))
-    apart = F.aggregate("more", empty, lambda acc, s: F.when(F.exists(acc, lambda b: overlap(b, s)), acc).otherwise(F.concat(acc, F.array(s))))
-    more = more.withColumn("apart", F.transform(apart, lambda s: F.struct(s.start.alias("start"), s.k.alias("k"), s.end.alias("end"))))
+        score = " + ".join([f"{start!r}D", *(tree_sql(t, "c.v") for t in trees)])
+        return F.expr(f"filter(transform(each_{k}, c -> named_struct('start', c.start, 'k', {ALL_KINDS.index(k)}, 'end', c.end, 'loss', -({score}))), s -> s.loss <= {-threshold!r}D)")
+
+    empty = F.array().cast("array<struct<start:int,k:int,end:int,loss:double>>")
+    more = _best_apart(each.withColumn("more", F.concat(empty, *(scored(k) for k in used))), "more", "apart")
     secret = ALL_KINDS.index("secret")
     more = more.withColumns({"secrets": F.array_sort(F.filter("apart", lambda s: s.k == secret)), "added": F.filter("apart", lambda s: s.k != secret)})
     text_of = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(F.array(*map(F.lit, ALL_KINDS)), s.k + 1), F.lit(":"), s.start, F.lit(":"), s.end)), ",")
