@@ -1,7 +1,8 @@
 """Verdicts on urls: fixed rules first, then a path-template tree with smoothed labelled purity.
 
 For each host, path segments become templates from the root down: segments with digits, and segments of a node with
-many different children, are wildcards. At every node of the tree, branches whose labelled shares don't differ from the
+many different children, are wildcards. The tree is as deep as it branches; what a path has below that is one branch. At
+every node of the tree, branches whose labelled shares don't differ from the
 parent's by a z-test, or that have no labels, are merged. From the root down, the share of bad pages of a branch is
 smoothed towards that of the same template over all hosts, shifted by how far the host's parent node is from that node
 over all hosts. The cut above which templates are rejected is fitted on labelled pages, each judged by other hosts only.
@@ -51,24 +52,43 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return text, verdict
 
 
-def templates(pages: DataFrame, depth: int = 4, most_children: int = 16) -> DataFrame:
+def templates(pages: DataFrame, most_children: int = 16) -> DataFrame:
     """Adds `template` to rows with host and path.
 
-    Level by level, a node's children are counted with map-side combination; a node with more than `most_children`
-    different ones, or a segment with a digit, gives a wildcard. Segments below `depth` are generalised by digits only,
-    each by itself; none is left out."""
+    Level by level, a node with more than `most_children` different children, or a segment with a digit, gives a
+    wildcard. The levels are walked on the different paths, which are read from the pages once; a node with no more than
+    `most_children` paths below it can't have a wide node any more, so its paths keep the rest of their segments, and the
+    walk ends when no other node is left."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    pages = pages.withColumn("parts", F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s))).withColumn("template", F.lit(""))
-    for level in range(depth):
-        segment = F.get("parts", F.lit(level))
-        here = pages.withColumn("segment", segment)
-        children = here.where("segment is not null").groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"))
-        wide = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > most_children)
-        wide = wide.select("host", "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("variable"))
-        step = F.when(F.col("segment").isNull(), F.col("template")).when(F.col("variable"), F.concat("template", F.lit("/*"))).otherwise(F.concat("template", F.lit("/"), "segment"))
-        pages = here.join(wide, ["host", "template", "salt"], "left").withColumn("template", step).drop("segment", "variable")
-    below = F.when(F.size("parts") > depth, F.concat(F.lit("/"), F.array_join(F.slice("parts", depth + 1, F.greatest(F.size("parts") - depth, F.lit(0))), "/"))).otherwise("")
-    return pages.withColumn("template", F.concat("template", below)).drop("parts")
+    plain = F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s))
+    pages = pages.withColumn("shape", F.array_join(plain, "/"))
+    salt = F.pmod(F.xxhash64("shape"), F.lit(SALTS)).alias("salt")
+    left = scratch(pages.select("host", "shape").distinct().select("host", "shape", salt, F.split("shape", "/", -1).alias("rest"), F.lit("").alias("template")))
+    whole = F.concat("template", F.when(F.size("rest") > 0, F.concat(F.lit("/"), F.array_join("rest", "/"))).otherwise("")).alias("template")
+    done = []
+    while True:
+        children = left.where("size(rest) > 0").groupBy("host", "template", F.get("rest", F.lit(0)).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+        large = scratch(children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).where(F.col("n") > most_children).select("host", "template", "kinds"))
+        if not large.limit(1).count():
+            done.append(left.select("host", "shape", whole))
+            break
+        spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        marked = scratch(left.join(spread, ["host", "template", "salt"], "left"))
+        stays = (F.size("rest") == 0) | F.col("kinds").isNull()
+        done.append(marked.where(stays).select("host", "shape", whole))
+        segment = F.when(F.col("kinds") > most_children, F.lit("*")).otherwise(F.get("rest", F.lit(0)))
+        left = marked.where(~stays).select("host", "shape", "salt", F.slice("rest", 2, F.size("rest")).alias("rest"), F.concat("template", F.lit("/"), segment).alias("template"))
+    # both sides are plain, so that Spark can split the rows of a hot path
+    known = scratch(reduce(DataFrame.union, done))
+    return pages.join(known, ["host", "shape"], "left").drop("shape")
+
+
+def branching_depth(leaf: DataFrame) -> int:
+    """The deepest level at which a node of a host's tree has several leaves (host, template) below it."""
+    step = lambda acc, part: F.struct(F.xxhash64(acc.h, part).alias("h"), F.concat(acc.all, F.array(F.xxhash64(acc.h, part))).alias("all"))
+    chain = F.aggregate(F.split("template", "/", -1), F.struct(F.lit(0).cast("long").alias("h"), F.array().cast("array<long>").alias("all")), step, lambda acc: acc.all)
+    nodes = leaf.select("host", F.posexplode(chain).alias("level", "node")).groupBy("host", "level", "node").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.where("n > 1").agg(F.max("level")).first()[0] or 0
 
 
 def nodes_of(leaf: DataFrame, depth: int) -> DataFrame:
@@ -135,7 +155,7 @@ def fitted_cut(leaf: DataFrame, everywhere: float, weight: float, default: float
     return best[len(best) // 2] / 100
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", bad: Column | None = None, weight: float = 4.0, reject_at: float = 0.5, z_same: float = 1.64, depth: int = 4) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", bad: Column | None = None, weight: float = 4.0, reject_at: float = 0.5, z_same: float = 1.64) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, template, purity (smoothed share of good pages).
 
     `bad` is a boolean Column of labels (null: unlabelled); without it, pages that a rule decides are labelled by it.
@@ -148,11 +168,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     named = named.withColumns({"rule": text, "by_rule": verdict, "salt": F.pmod(F.xxhash64("id", "path"), F.lit(SALTS))})
     if bad is None:
         named = named.withColumn("bad", (F.col("by_rule") == "block").cast("int"))
-    rows = scratch(templates(named, depth))
+    rows = scratch(templates(named))
     leaf = scratch(rows.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")))
     n_all, bad_all = leaf.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     everywhere = (bad_all + 1) / (n_all + 2)
     cut = fitted_cut(leaf, everywhere, weight, reject_at)
+    depth = branching_depth(leaf)  # below it, what is left of a path is one branch
     shares = smoothed_shares(scratch(nodes_of(leaf, depth)), everywhere, depth, weight, z_same)
     shares = shares.join(leaf.select("host", F.col("template").alias("node")), ["host", "node"], "left_semi")
     known = shares.select("host", F.col("node").alias("template"), (1 - F.col("share")).alias("purity"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
