@@ -15,16 +15,41 @@ NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units that are taken for slots after a number.
 UNITS = "kg g mg km m cm mm mi ft in lb lbs oz l ml s sec secs min mins h hr hrs hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent percent usd eur gbp mph kph kmh meters meter metres metre kilometers kilometres miles mile feet foot inches inch pounds pound grams gram kilograms liters litres liter litre degrees degree watts watt volts volt"
 #: Words that are no names where they stand capitalised, as at the start of a sentence.
-NO_NAMES = "The A An This That These Those He She It They We You His Her Its Their My Our Your If How What When Where Which Who Why In On At For From To Of And But Or So As By With After Before Then There Each Every Some All No Is Are Was Were Do Does Did Can"
+NO_NAMES = "I The A An This That These Those He She It They We You His Her Its Their My Our Your If How What When Where Which Who Why In On At For From To Of And But Or So As By With After Before Then There Each Every Some All No Is Are Was Were Do Does Did Can"
+#: The same in German, French and Spanish.
+NO_NAMES_ELSEWHERE = "Der Die Das Den Dem Des Ein Eine Einen Einem Einer Ich Er Sie Es Wir Ihr Wenn Wie Was Wann Wo Wer Warum In Im Am Auf Für Von Zu Zum Und Aber Oder So Mit Nach Vor Dann Jeder Jede Alle Kein Keine Ist Sind War Hat Haben Le La Les Un Une Des Du De Je Tu Il Elle Nous Vous Ils Elles Ce Cette Ces Si Comment Quel Quelle Quand Qui Pourquoi Dans Sur Pour Par Et Mais Ou Avec Après Avant Alors Chaque Tout Tous Est Sont El Los Las Una Unos Yo Él Ella Nosotros Ellos Este Esta Estos Cómo Qué Cuál Cuándo Quién Por En Con Para Pero Cada Todo Todos Es Son"
+#: Numbers written as words, in English, German, French and Spanish; those that are articles too are left out.
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil"
+)
+#: Items that may share a window before it is looked up for those of them only that can't be told without it.
+MOST_ITEMS = 64
 #: Windows of benchmark items that may be broadcast (16 bytes each); above, the join shuffles.
 MOST_BROADCAST = 1 << 21
 
 
+def _number_words() -> str:
+    """A pattern of the words of NUMBER_WORDS, in any case, by first letter so that most words fail at once."""
+    by_letter: dict[str, list[str]] = {}
+    for w in dict.fromkeys(NUMBER_WORDS.split(" ")):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    one = "(?:" + "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in by_letter.items()) + ")"
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}'’-]){one}(?:-{one})*+(?![\p{{L}}\p{{N}}'’-])"
+
+
 def template_words(text: Column) -> Column:
-    """Words of the template: placeholders for slots, the rest in lower case without punctuation."""
+    """Words of the template: placeholders for slots, the rest in lower case without punctuation.
+
+    Slots are numbers, in digits or as words, units after them, and names: words of two letters or more that begin with
+    a capital, with inner capitals, hyphens and apostrophes. Names in lower case are not told from other words."""
+    text = F.regexp_replace(_free(text), _number_words(), NUMBER)
     # the first test fails at most characters, so the others are seldom made
-    text = F.regexp_replace(_free(text), rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?!(?:{NO_NAMES.replace(' ', '|')})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+", NAME)
-    text = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, r"[0-9](?:[0-9]|[.,:/](?=[0-9]))*+", NUMBER), rf"(?i){NUMBER} (?:{UNITS.replace(' ', '|')})\b", f"{NUMBER} {UNIT}")).otherwise(text)
+    text = F.regexp_replace(text, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?!(?:{f'{NO_NAMES} {NO_NAMES_ELSEWHERE}'.replace(' ', '|')})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}++|(?=['’]\p{{L}}))(?:['’-]\p{{L}}++)*+", NAME)
+    text = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"[0-9](?:[0-9]|[.,:/](?=[0-9]))*+", NUMBER)).otherwise(text)
+    text = F.when(text.contains(f"{NUMBER} "), F.regexp_replace(text, rf"(?i){NUMBER} (?:{UNITS.replace(' ', '|')})\b", f"{NUMBER} {UNIT}")).otherwise(text)
     return _words(F.regexp_replace(text, r"[^\p{L}\p{N}\s\x{E000}-\x{E002}]+", ""))
 
 
@@ -71,6 +96,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     sides = [items.select("item_id", F.array_distinct(w).alias("w")) for w in ("iw", "ipw")]
     lookup = sides[0].withColumn("kind", F.lit(0)).union(sides[1].withColumn("kind", F.lit(1)))
     lookup = lookup.select("item_id", "kind", (F.size("w") * F.lit(share) - 1e-6).alias("least"), F.explode("w").alias("h"))
+    # a window that very many items have, as one of slots alone, is looked up for an item only if what is left of its
+    # windows can't show that it may be held: all pairs of its documents and items are not made
+    spread = lookup.groupBy("kind", "h").agg((F.count(F.lit(1)) > MOST_ITEMS).alias("common"))
+    marked = lookup.join(spread, ["kind", "h"])
+    fewer = marked.groupBy("item_id", "kind").agg(F.count(F.when(F.col("common"), 1)).alias("f"))
+    lookup = marked.join(fewer, ["item_id", "kind"]).withColumn("spare", F.col("least") - F.col("f") >= 1).where("not common or not spare")
+    lookup = scratch(lookup.select("item_id", "kind", "h", F.when(F.col("spare"), F.col("least") - F.col("f")).otherwise(F.col("least")).alias("least")))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the generator names both columns of words, so that generated code makes them once a text and not once a window
     words = texts.select("id", template_words(F.col("text")).alias("it"), plain_words(F.col("text")).alias("ip"))
