@@ -6,8 +6,9 @@ the network. Several networks (members of an ensemble, trials of a search) are t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -183,7 +184,7 @@ def fit_networks(rows: DataFrame, nets: list[Network], key: str, inputs: list[st
 
     def judge(epoch: int) -> None:
         for k, (loss, seen) in enumerate(_totals(val, nets, weights, 0, False)):
-            mean = loss / seen if seen else float("nan")
+            mean = float(loss / seen) if seen else float("nan")
             if not epoch or np.isnan(mean) or mean < min(best[k].history):
                 best[k].weights, best[k].best_epoch = weights[k], epoch
             best[k].history.append(mean)
@@ -217,3 +218,15 @@ def loss_history(trained: list[Trained], spark) -> DataFrame:
     """(member, epoch, loss, best): validation losses of each network."""
     found = [(k, e, v, e == t.best_epoch) for k, t in enumerate(trained) for e, v in enumerate(t.history)]
     return spark.createDataFrame(found, "member int, epoch int, loss double, best boolean")
+
+
+def save_networks(trained: list[Trained], spark, path: str) -> None:
+    """Networks as a table: what each looks like, its weights and its losses."""
+    rows = [(k, json.dumps(asdict(t.network)), t.weights.tolist(), [float(x) for x in t.history], int(t.best_epoch)) for k, t in enumerate(trained)]
+    spark.createDataFrame(rows, "member int, network string, weights array<double>, history array<double>, best_epoch int").write.parquet(path)
+
+
+def load_networks(spark, path: str) -> list[Trained]:
+    found = spark.read.parquet(path).orderBy("member").collect()  # as large as the networks
+    made = [Network(**{k: tuple(v) if k == "inputs" else v for k, v in json.loads(r["network"]).items()}) for r in found]
+    return [Trained(n, np.array(r["weights"]), list(r["history"]), r["best_epoch"]) for n, r in zip(made, found, strict=True)]

@@ -371,7 +371,7 @@ def gap_maps(spark, sf):
 
 @query(_ALIGNED + " select name, string_agg(ch, '' order by pos) filter (where pos in (0, 2, 4, 11)) as picked from p group by 1")
 def gapped_columns(spark, sf):
-    """Letters of selected alignment columns."""
+    """Letters of selected alignment columns."""
     return aligned(spark, sf).select("name", tx.selected_columns(F.col("aligned"), F.array(*map(F.lit, (0, 2, 4, 11)))).alias("picked"))
 
 
@@ -591,14 +591,14 @@ def _fitted(name: str, doc: str, label, fit: Callable) -> None:
 
 
 _is_three = lambda: F.when(F.col("label") == 3, 1.0).otherwise(0.0)
-_fitted("ridge", "B01: ridge regression.", lambda: F.col("label").cast("double"), models.ridge)
-_fitted("logistic", "B02: balanced logistic regression.", _is_three, models.logistic)
-_fitted("rf", "B04: random forest.", _is_three, lambda a, b: models.forest(a, b, trees=20, depth=5))
+_fitted("ridge", "B01: ridge regression of one task by Spark ML (of all tasks: ridge_tasks).", lambda: F.col("label").cast("double"), models.ridge)
+_fitted("logistic", "B02: balanced logistic regression of one task by Spark ML (of all tasks: logistic_tasks).", _is_three, models.logistic)
+_fitted("rf", "B04: random forest of one task by Spark ML.", _is_three, lambda a, b: models.forest(a, b, trees=20, depth=5))
 
 
 @query()
 def mlp(spark, sf):
-    """An ensemble of two networks for each of two tasks."""
+    """An ensemble of two networks for each of two tasks; a task has to fit a worker (see multitask_network)."""
     rows = model_rows(spark, sf, F.col("label").cast("double"))
     tasks = rows.withColumn("task", F.explode(F.array(F.lit(3), F.lit(7)))).withColumn("label", F.when(F.col("label") == F.col("task"), 1.0).otherwise(0.0))
     return models.network_per_task(tasks, "task", "key", members=2, epochs=3).select("task", "key", F.round("pred", 6).alias("pred"))
@@ -693,7 +693,7 @@ def ensemble(spark, sf):
 
 @query()
 def outer_features(spark, sf):
-    """Outer products of two selected feature vectors, projected; variances by axis."""
+    """Outer products of two selected feature vectors, projected; variances by axis."""
     e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("a"), F.slice("embedding", 17, 16).alias("b"))
     p = scaling.outer_features(e, "a", "b", "vec_id", "vec_id % 5 <> 0", 0.1, 5)
     return p.select(F.posexplode("components").alias("axis", "x")).groupBy("axis").agg(F.round(F.var_pop("x"), 8).alias("variance"))
@@ -701,7 +701,7 @@ def outer_features(spark, sf):
 
 @query()
 def loss_curves(spark, sf):
-    """Loss by epoch and the best epoch of each task."""
+    """Loss by epoch and the best epoch of each task."""
     rows = model_rows(spark, sf, _is_three()).withColumn("task", F.lit("three"))
     curve = models.loss_curve(rows, "task", epochs=4)
     return curve.join(models.best_epoch(curve, "task").withColumnRenamed("epoch", "best"), "task").withColumn("loss", F.round("loss", 6))
@@ -709,7 +709,7 @@ def loss_curves(spark, sf):
 
 @query()
 def tune_ridge(spark, sf):
-    """Penalties of ridge regression by mean squared error on two folds."""
+    """A grid of penalties of ridge regression by mean squared error on two folds."""
     rows = model_rows(spark, sf, F.col("label").cast("double"))
     folds = [(rows.where(F.col("key") % 3 != f), rows.where(F.col("key") % 3 == f)) for f in (0, 1)]
     scores = models.tune_linear(folds, [-1, 0, 1, 2])
@@ -834,7 +834,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_EDGES + " select a, b, v from s")
 def sym_edges_min(spark, sf):
-    """Least weight of each unordered pair, in both directions."""
+    """Least weight of each unordered pair, in both directions."""
     return edges(spark, sf)
 
 
@@ -913,7 +913,7 @@ def mutual_information(spark, sf):
 
 @query("select o_orderkey, c_mktsegment from orders join customer on o_custkey = c_custkey")
 def keyed_lookup(spark, sf):
-    """Lookup that fails on a missing key."""
+    """Lookup that fails on a missing key."""
     found = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     return reshape.lookup(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), found, "o_custkey", "c_mktsegment").select("o_orderkey", "c_mktsegment")
 

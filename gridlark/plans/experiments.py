@@ -151,7 +151,7 @@ def balance_by_metric(spark, sf):
 
 @query(RESULTS + " select split_part(split_part(path, '/', -1), '.', 1) as dataset, model, count(*) as n, round(avg(score), 4) as score from res group by 1, 2")
 def by_dataset(spark, sf):
-    """From model to dataset turned into dataset to model; in long form a grouping."""
+    """Results of models by dataset, a grouping in long form."""
     return results(spark, sf).groupBy(naming.stem("path").alias("dataset"), "model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("score"))
 
 
@@ -350,7 +350,7 @@ def category_files(spark, sf):
 
 @query("select vec_id, round(list_sum(embedding::double[]), 6) as total from embeddings")
 def feature_cache(spark, sf):
-    """Features stored under a digest of their properties and the dataset's name, computed once."""
+    """Features stored under a digest of their properties and the dataset's name, computed once."""
     root = _shared(spark)
     how = {"dataset": sf.rstrip("/").rsplit("/", 1)[-1], "features": "sum", "version": 1}
     build = lambda: table(spark, sf, "embeddings").select("vec_id", r6(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), "total"))
@@ -388,7 +388,7 @@ def svm(spark, sf):
 
 @query()
 def model_files(spark, sf):
-    """A fitted model saved, loaded, and applied."""
+    """A fitted model saved, loaded, and applied."""
     from pyspark.ml.classification import LinearSVCModel
 
     path = _shared(spark)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.functions.rand import shuffle_key, uniform
-from gridlark.operators import models, network, pertask, search, steps
-from gridlark.plans.catalogue import MASKED, facts, grid, query, r6
+from gridlark.functions.rand import uniform
+from gridlark.operators import models, neighbors, network, pertask, scaling, search, steps
+from gridlark.functions import text as tx
+from gridlark.plans.catalogue import _ALIGNED, _RES, GRID, MASKED, aligned, facts, grid, query, r6, residue_matrix
+from gridlark.sources import files
 from gridlark.sources.shared import shared_path
 from gridlark.sources.tables import table
 
@@ -136,3 +138,80 @@ def sampler_draws(spark, sf):
     """5000 draws with replacement from the cells of the masked grid, positive ones three times as likely."""
     w = facts(spark, sf).select(F.concat_ws(":", "seq", "sub").alias("key"), F.when(F.col("label") == 1, 3).when(F.col("label") == 0, 1).otherwise(0).alias("weight"))
     return models.weighted_draws(w, "key", "weight", 5000, 17)
+
+
+@query()
+def outer_ridge(spark, sf):
+    """Outer products of two selected vectors, projected, and a ridge regression of each task on them."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    crossed = scaling.outer_features(e, "a", "b", "vec_id", "vec_id % 5 <> 0", 0.12, 8).select(F.col("vec_id").alias("key"), F.col("components").alias("features"))
+    rows = crossed.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), "label"), "key").withColumn("task", F.explode(F.array(F.lit(3), F.lit(7))))
+    rows = rows.withColumn("label", F.when(F.col("label") == F.col("task"), 1.0).otherwise(0.0))
+    return pertask.predict_ridge(rows.where("key % 5 = 0"), pertask.fit_ridge(rows.where("key % 5 <> 0"))).select("task", "key", F.round("pred", 6).alias("pred"))
+
+
+@query()
+def network_files(spark, sf):
+    """Networks with their losses saved as tables, loaded again and applied; losses of each epoch beside."""
+    rows = labelled_vectors(spark, sf)
+    fitted = network.fit_networks(rows, [network.Network((64,), 10, hidden=16, layers=1, rate=1e-2, seed=9)], "key", ["features"], epochs=2)
+    path = shared_path(spark)
+    network.save_networks(fitted, spark, path)
+    again = network.load_networks(spark, path)
+    network.loss_history(again, spark).write.parquet(f"{path}-losses")
+    best = spark.read.parquet(f"{path}-losses").where("best").select(F.col("epoch").alias("best_epoch"), F.round("loss", 6).alias("loss"))
+    found = network.predict_networks(rows.where("role = 'test'"), again, "key", ["features"])
+    return found.select("key", F.round(F.get("pred", F.lit(3)), 5).alias("pred")).crossJoin(F.broadcast(best))  # one row
+
+
+@query(_RES + " select vec_id, cast(pos as integer) as pos, round(sum(x), 6) as total from r group by 1, 2")
+def residue_cache(spark, sf):
+    """Features of each residue, stored in a file named after the dataset and read again by the next call."""
+    root = f"{shared_path(spark)}/{sf.rstrip('/').rsplit('/', 1)[-1]}_residue_features"
+    build = lambda: residue_matrix(spark, sf).select("vec_id", F.posexplode("residues").alias("pos", "vector"))
+    files.cached(spark, root, {"features": "residues"}, build)
+    back = files.cached(spark, root, {"features": "residues"}, lambda: build().where("false"))
+    return back.select("vec_id", "pos", r6(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), "total"))
+
+
+@query(_ALIGNED + " select name, cast(pos as integer) as pos, upper(ch) as letter, 1 as x from p where pos in (0, 2, 4, 11) and ch <> '-'")
+def msa_onehot(spark, sf):
+    """One-hot rows of selected alignment columns in sparse form; gaps have no one."""
+    picked = F.array(*map(F.lit, (0, 2, 4, 11)))
+    rows = aligned(spark, sf).select("name", F.posexplode(tx.chars(tx.selected_columns(F.col("aligned"), picked))).alias("k", "letter"))
+    return rows.where("letter <> '-'").select("name", F.get(picked, F.col("k")).alias("pos"), F.upper("letter").alias("letter"), F.lit(1).alias("x"))
+
+
+@query(GRID + " select seq, sub, round(list_sum(embedding[1:4]::double[]), 6) as total from grid join embeddings on vec_id = seq % 100")
+def precomputed_features(spark, sf):
+    """Given features, stored beside the data, joined with the rows of their items; a missing item is an error."""
+    path = shared_path(spark)
+    table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.slice("embedding", 1, 4).cast("array<double>").alias("features")).write.parquet(path)
+    known = spark.read.parquet(path)
+    rows = grid(spark, sf).select("seq", "sub", (F.col("seq") % 100).alias("item")).join(known, "item", "left")
+    found = F.coalesce("features", F.raise_error(F.concat(F.lit("no features of item "), F.col("item"))).cast("array<double>"))
+    return rows.select("seq", "sub", r6(F.aggregate(found, F.lit(0.0), lambda s, x: s + x), "total"))
+
+
+@query("""with e as (select distinct least(p_size, length(p_name)) as a, greatest(p_size, length(p_name)) as b, min(p_retailprice) as d from part group by 1, 2), s as (select a, b, d from e where a <> b union all select b, a, d from e where a <> b),
+  n as (select a, count(*) as degree from s group by 1) select s.a, s.b, cast(d as double) as value, degree from s join n using (a) union all select a, a, 0, degree from n""")
+def sparse_distances(spark, sf):
+    """A symmetric sparse matrix of least distances with a zero diagonal, and the degree of each row."""
+    p = table(spark, sf, "part").select(F.col("p_size").cast("long").alias("x"), F.length("p_name").cast("long").alias("y"), F.col("p_retailprice").cast("double").alias("d"))
+    both = neighbors.symmetric_minimum(p, "x", "y", "d")
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    return both.join(degree, "a").select("a", "b", F.col("d").alias("value"), "degree").union(degree.select("a", "a", F.lit(0.0), "degree"))
+
+
+@query("select a.vec_id as a, b.vec_id as b, round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as dist from embeddings a join embeddings b on a.vec_id < b.vec_id where a.vec_id % 25 = 0 and b.vec_id % 25 = 0")
+def test_pair_distances(spark, sf):
+    """Distances between all test items, each pair once, beside their predictions."""
+    test = table(spark, sf, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found = neighbors.distances(test, test.withColumnRenamed("query", "ref"), "l2")
+    return found.where("query < ref").select(F.col("query").alias("a"), F.col("ref").alias("b"), r6("dist", "dist"))
+
+
+@query("select event_type, count(*) as n, max(strftime(ts, '%Y_%m_%d-%H%M%S')) as last from events group by 1")
+def run_stamps(spark, sf):
+    """times as they stand in the names of runs; the last of each kind."""
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max(F.date_format("ts", "yyyy_MM_dd-HHmmss")).alias("last"))

@@ -236,3 +236,28 @@ def test_weighted_draws(spark):
     assert all(abs(got.get(k, 0) - 3000 * w / total) < 1 for k, w in [(i, i % 4) for i in range(400)] + [(1001, 100)])
     few = Counter(r["draws"] for r in models.weighted_draws(df, "key", "weight", 10, 5).collect())
     assert sum(k * v for k, v in few.items()) == 10
+
+
+def test_networks_are_saved_whole(spark, tmp_path):
+    made = [network.Trained(network.Network((4, 3), 2, hidden=5, layers=2, seed=s), network.Network((4, 3), 2, hidden=5, layers=2, seed=s).start(), [0.7, 0.6], 1) for s in (1, 2)]
+    network.save_networks(made, spark, str(tmp_path / "nets"))
+    for a, b in zip(made, network.load_networks(spark, str(tmp_path / "nets")), strict=True):
+        assert a.network == b.network and np.array_equal(a.weights, b.weights) and (a.history, a.best_epoch) == (b.history, b.best_epoch)
+    assert network.loss_history(made, spark).where("best").count() == 2
+
+
+def test_ridge_on_outer_products(spark):
+    """Products of the strong dimensions, centred and projected, then a ridge: as numpy has it, whatever the signs."""
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=(60, 5)) * [1, 0.01, 2, 1, 0.5], rng.normal(size=(60, 4)) * [1, 1, 0.02, 3]
+    y = a[:, 0] * b[:, 3] + rng.normal(size=60) * 0.1
+    df = spark.createDataFrame([(i, a[i].tolist(), b[i].tolist(), "t", float(y[i])) for i in range(60)], "key long, a array<double>, b array<double>, task string, label double")
+    crossed = scaling.outer_features(df, "a", "b", "key", "key < 50", 0.1, 6).withColumnRenamed("components", "features")
+    rows = df.select("key", "task", "label").join(crossed, "key")
+    got = {r["key"]: r["pred"] for r in pertask.predict_ridge(rows, pertask.fit_ridge(rows.where("key < 50"), alpha=0.5)).collect()}
+    x = np.einsum("ni,nj->nij", a[:, [0, 2, 3, 4]], b[:, [0, 1, 3]]).reshape(60, -1)
+    x = x - x.mean(axis=0)
+    x = x @ np.linalg.svd(x, full_matrices=False)[2][:6].T
+    c, m = x[:50] - x[:50].mean(axis=0), y[:50].mean()
+    w = np.linalg.solve(c.T @ c + 0.5 * np.eye(6), c.T @ (y[:50] - m))
+    assert np.allclose([got[i] for i in range(60)], (x - x[:50].mean(axis=0)) @ w + m, atol=1e-6)
