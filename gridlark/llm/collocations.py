@@ -33,6 +33,8 @@ _GAPS[[32, 9]] = True
 BLOCK, SHARD = 1 << 20, 2_000_000
 #: Frequent pairs that a range of the merge has about, with all phrases that begin with them.
 RANGE_PAIRS = 256
+#: Shares that a language's phrases are ranked in first.
+SHARES = 64
 #: Bits for each key of a filter, and the most that a filter has (16 MiB), as powers of two.
 KEY_BITS, LEAST_LOG, MOST_LOG = 16, 13, 27
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A], dtype=np.uint64)
@@ -332,5 +334,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     around = inner.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
     maximal = best.join(around, ["lang", "phrase"], "left").where("longer is null or longer < a")
     rows = maximal.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    # the first of each share of a language's phrases, then the first of those
+    shared = rows.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    some = shared.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    last = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    return last.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
