@@ -1,8 +1,8 @@
 """Components of similar items that share buckets, with every link confirmed on whole sets of hashes.
 
 All members of a bucket are compared with a few pivots first; then those outside its largest component are compared with
-all others: in one task through an index of the rarest hashes of each set, or in rounds where a bucket is too large for a
-task. So no link that joins components of a bucket is left out, without all its pairs being made."""
+all others through the rarest hashes of each set: in one task, or by a join where a bucket is too large for a task. So no
+link that joins components of a bucket is left out, without all its pairs being made."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm import kernel
@@ -21,7 +21,7 @@ from gridlark.llm.graph import components
 U64 = np.uint64
 #: Pivots of a bucket in the first round, and above how many members it has one only.
 PIVOTS, MANY = 4, 64
-#: Bytes of sets that a task compares at once; larger buckets are compared in rounds.
+#: Bytes of sets that a task compares at once; larger buckets are compared by a join.
 GATHERED = 8 << 20
 #: Pairs, and bytes of both their payloads, that are compared at once; a pair is never cut.
 _PAIRS, _BYTES = 4096, 4 << 20
@@ -205,26 +205,50 @@ def _per_bucket(now: DataFrame) -> DataFrame:
     return scratch(per.where("outside > 0"))
 
 
-def _rounds(mates: DataFrame, payloads: DataFrame, edges: DataFrame, comps: DataFrame, percent: int, flat_of: FlatOf) -> DataFrame:
-    """Components after all that buckets too large for one task still have to tell, by pivots in rounds.
-
-    A round compares pivots, outside each bucket's largest component, with all members of other components; it ends when
-    every such member has been a pivot or joined. Pivots are drawn by hash, twice as many each round."""
-    kind = mates.schema["rep"].dataType.simpleString()
-    done = mates.sparkSession.createDataFrame([], f"key long, rep {kind}")
-    each = PIVOTS
-    while True:
-        now = scratch(mates.join(comps, mates.rep == comps.id, "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
-        left = scratch(now.join(_per_bucket(now), "key").where("comp <> main").join(done, ["key", "rep"], "left_anti"))
-        if not left.limit(1).count():
-            return comps
-        chosen = scratch(left.where(F.pmod(F.xxhash64("rep", "key", F.lit(each)), F.col("outside")) < each).select("key", F.col("rep").alias("b"), F.col("comp").alias("cb")))
-        more = scratch(_confirm(now.join(chosen, "key").where("comp <> cb"), payloads, percent, flat_of))
-        if more.limit(1).count():
-            edges = scratch(edges.union(more))
-            comps = components(edges)
-        done = scratch(done.union(chosen.select("key", F.col("b").alias("rep"))))
-        each *= 2
+def _exploder(flat_of: FlatOf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with a payload as one row for each distinct hash of its set, with the size of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column("payload")).to_numpy().astype(np.int64))
+            at = 0
+            while at < len(batch):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES // 4, side="right")))
+                part = batch.slice(at, end - at)
+                hashes, counts = flat_of(part.column("payload"))
+                owner = np.repeat(np.arange(len(part)), counts)
+                order = np.lexsort((hashes, owner))
+                hashes, owner = hashes[order], owner[order]
+                keep = np.ones(len(owner), dtype=bool)
+                keep[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                hashes, owner = hashes[keep], owner[keep]
+                sizes = np.bincount(owner, minlength=len(part)).astype(np.int64)
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("key", "rep", "comp", "out")), pa.array(sizes[owner]), pa.array(hashes.view(np.int64))], names=["key", "rep", "comp", "out", "n", "h"])
+                at = end
+
+    return run
+
+
+def _by_rare_hashes(members: DataFrame, payloads: DataFrame, percent: int, flat_of: FlatOf) -> DataFrame:
+    """All links between components of buckets too large for one task (key, rep, n, comp).
+
+    The hashes of each set are ordered by how many sets outside the bucket's largest component have them. Two sets of
+    that similarity share one of the first n - ceil(share * n) + 1 of each, so only sets that do are compared; at least
+    one of a pair is outside the largest component. Hashes that all sets of a bucket have come last and cost nothing."""
+    kind = payloads.schema["rep"].dataType.simpleString()
+    marked = members.join(_per_bucket(members).select("key", "main"), "key").select("key", "rep", "comp", (F.col("comp") != F.col("main")).alias("out"))
+    items = scratch(marked.join(payloads, "rep").select("key", "rep", "comp", "out", "payload").mapInArrow(_exploder(flat_of), f"key long, rep {kind}, comp {kind}, out boolean, n long, h long"))
+    spread = items.where("out").groupBy("key", "h").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("key", "rep").orderBy(F.coalesce("df", F.lit(0).cast("long")), "h"))
+    rare = items.join(spread, ["key", "h"], "left").withColumn("at", place).where(f"at <= n - ceil(n * {percent} / 100) + 1 and df is not null").select("key", "h", "rep", "comp", "out", "n")
+    rare = scratch(rare)
+    one = rare.where("out").select("key", "h", "rep", "comp", "n")
+    two = rare.select("key", "h", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    pairs = one.join(two, ["key", "h"]).where(f"comp <> cb and 100 * least(n, nb) >= {percent} * greatest(n, nb)").select("rep", "b")
+    found = scratch(_confirm(pairs, payloads, percent, flat_of))
+    discard(items, rare)
+    return found
 
 
 def shared_buckets(items: DataFrame) -> DataFrame:
@@ -267,5 +291,8 @@ def similar_components(mates: DataFrame, payloads: DataFrame, percent: int, flat
         comps = components(edges)
     large = open_.where(F.col("bytes") > GATHERED)
     if large.limit(1).count():
-        comps = _rounds(scratch(large.select("key", "rep", "n")), payloads, edges, comps, percent, flat_of)
+        now = scratch(large.select("key", "rep", "n").join(comps, large.rep == comps.id, "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+        more = _by_rare_hashes(now, payloads, percent, flat_of)
+        if more.limit(1).count():
+            comps = components(edges.union(more))
     return comps
