@@ -105,9 +105,3 @@ def category_one_hot(rows: DataFrame, key: str, category: str, most: int = 499)
     numbered = numbered.withColumn("__n", F.when(F.col("__n") <= most, F.col("__n")).otherwise(F.raise_error(F.lit(f"more than {most} categories")))).drop("__first")
     dims = rows.join(numbered, category).withColumn("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     return dims.select(key, "code", "dim", F.when(F.col("dim") == F.col("code"), 1.0).otherwise(0.0).alias("x"))
-
-
-def top_mean(pairs: DataFrame, left: str, value: str, k: int = 5) -> DataFrame:
-    """Mean of the k largest values of each left item."""
-    w = Window.partitionBy(left).orderBy(F.col(value).desc(), *(c for c in pairs.columns if c not in (left, value)))
-    return pairs.withColumn("__rank", F.row_number().over(w)).where(f"__rank <= {k}").groupBy(left).agg(F.avg(value).alias(f"top{k}_{value}"))

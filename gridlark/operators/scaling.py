@@ -58,11 +58,6 @@ def kmer_frequencies(rows: DataFrame, key: str, kmers) -> DataFrame:
     return c.select(key, "kmer", (F.col("c") / F.sum("c").over(Window.partitionBy(key))).alias("freq"))
 
 
-def select_fitted(features: DataFrame, fit: DataFrame, choose) -> DataFrame:
-    """Rows of the dimensions that `choose` picks on the fitting rows only."""
-    return features.join(choose(fit).select("dim"), "dim", "left_semi")
-
-
 def outer_features(items: DataFrame, a: str, b: str, key: str, fit: str, least_deviation: float = 0.1, n: int = 10) -> DataFrame:
     """(key, components): outer products of two vectors, first without columns of small deviation on the fitting rows, then projected.
 

@@ -306,7 +306,8 @@ def kmer_freq(spark, sf):
     return scaling.kmer_frequencies(names(spark, sf), "name", tx.kmers(F.col("name"), 2, 3)).select("name", "kmer", r6("freq", "freq"))
 
 
-_CODE = "case when upper(ch) = 'O' then 11 when upper(ch) = 'U' then 4 when instr('ARNDCQEGHILKMFPSTWYV', upper(ch)) > 0 then instr('ARNDCQEGHILKMFPSTWYV', upper(ch)) - 1 else 20 end"
+_LETTER = "upper(ch)"
+_CODE = "case " + "".join(f"when {_LETTER} = '{c}' then {k} " for c, k in tx.SHARED.items()) + f"when instr('{tx.ALPHABET}', {_LETTER}) > 0 then instr('{tx.ALPHABET}', {_LETTER}) - 1 else {tx.UNKNOWN} end"
 
 
 @query(_ALIGNED + f" select name, pos, cast({_CODE} as integer) as code from p where ch <> '-'")
