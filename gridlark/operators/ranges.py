@@ -53,6 +53,6 @@ def crossed(rows: DataFrame, small: DataFrame, on: str) -> DataFrame:
     both are dealt by `on` and a share of the rows."""
     if small.count() <= MOST_BROADCAST:
         return rows.join(F.broadcast(small), on)
-    dealt = rows.withColumn("__share", F.floor(F.rand(1) * SHARES))
+    dealt = rows.withColumn("__share", F.pmod(F.xxhash64(*rows.columns), F.lit(SHARES)))
     every = small.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
     return dealt.join(every, [on, "__share"]).drop("__share")
