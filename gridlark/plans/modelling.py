@@ -207,8 +207,8 @@ def sparse_distances(spark, sf):
 def test_pair_distances(spark, sf):
     """Distances between all test items, each pair once, beside their predictions."""
     test = table(spark, sf, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    found = neighbors.distances(test, test.withColumnRenamed("query", "ref"), "l2")
-    return found.where("query < ref").select(F.col("query").alias("a"), F.col("ref").alias("b"), r6("dist", "dist"))
+    found = neighbors.distances(test, test.withColumnRenamed("query", "ref"), "l2", digits=6)
+    return found.where("query < ref").select(F.col("query").alias("a"), F.col("ref").alias("b"), "dist")
 
 
 @query("select event_type, count(*) as n, max(strftime(ts, '%Y_%m_%d-%H%M%S')) as last from events group by 1")
