@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.operators.ranges import running_before
+from gridlark.sources.shared import written
 
 
 def _confusion(y: str, p: str, cut: float) -> dict[str, Column]:
@@ -47,16 +48,38 @@ def average_precision(facts: DataFrame, by: list[str], y: str = "label", p: str
     return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("avg_pr"))
 
 
-def spearman(facts: DataFrame, by: list[str], y: str = "label", p: str = "pred") -> DataFrame:
-    """Pearson's coefficient of average ranks; null for a constant side."""
+#: Rows of a group that one task ranks at most.
+MOST_RANKED = 1 << 20
+
+
+def _ranked_whole(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with a and b, their average ranks by y and x; a group's rows are sorted in one task."""
+    within = Window.partitionBy(*by)
+    rank = lambda c: F.rank().over(within.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
+    return rows.repartition(*by).withColumn("a", rank("y")).withColumn("b", rank("x"))
 
-    def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
-        c = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+
+def _ranked_in_ranges(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The same by one row per distinct score, counted in ranges; no task sees a whole group."""
+    for value, name in (("y", "a"), ("x", "b")):
+        c = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
         c = running_before(c, by, value, ["c"]).withColumn(name, F.col("c_before") + (F.col("c") + 1) / 2)
-        return df.join(c.drop("c", "c_before"), [*by, value])
+        rows = rows.join(c.drop("c", "c_before"), [*by, value])
+    return rows.select(*by, "y", "x", "a", "b")
+
 
-    rows = facts.where(F.col(y).isNotNull()).select(*by, F.col(y).alias("y"), F.col(p).alias("x"))
-    r = ranked(ranked(rows, "y", "a"), "x", "b").groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+def spearman(facts: DataFrame, by: list[str], y: str = "label", p: str = "pred") -> DataFrame:
+    """Pearson's coefficient of average ranks; null for a constant side.
+
+    Groups are ranked in one shuffle by group; those of over MOST_RANKED rows are ranked in ranges instead."""
+    rows = facts.where(F.col(y).isNotNull()).select(*by, F.col(y).alias("y"), F.col(p).alias("x")).dropna(subset=by)
+    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > MOST_RANKED).drop("__n")
+    large = written(large)  # a row for MOST_RANKED rows at least
+    ranked = _ranked_whole(rows.join(F.broadcast(large), by, "left_anti"), by)
+    if large.limit(1).count():
+        ranked = ranked.union(_ranked_in_ranges(rows.join(F.broadcast(large), by, "left_semi"), by))
+    ranked = ranked.where("x is not null")
+    r = ranked.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
     return r.select(*by, F.try_divide(F.col("n") * F.col("ab") - F.col("sa") * F.col("sb"), F.sqrt((F.col("n") * F.col("aa") - F.col("sa") * F.col("sa")) * (F.col("n") * F.col("bb") - F.col("sb") * F.col("sb")))).alias("spearman"))
 
 
