@@ -307,6 +307,18 @@ def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch, gathered):
     assert found == {(k + 1, k) for k in range(0, len(lines), 2)}
 
 
+def test_line_dedup_compares_no_sets_of_too_different_sizes(spark, monkeypatch):
+    # as many shingles, but of the second line only two distinct ones
+    r, compared, confirm = random.Random(9), [], links._confirm
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)), "ab" * 100]
+    monkeypatch.setattr(line_dedup, "minima", lambda hashes, begins, ends, n: np.zeros((n, len(begins)), dtype=np.uint32))
+    monkeypatch.setattr(links, "_confirm", lambda pairs, *how: compared.append(pairs.where("rep <> b").count()) or confirm(pairs, *how))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.repeated_lines(df).count() == 0 and compared == [0]
+    hashes = np.array([7, 7, 9, 1 << 40, 7], dtype=np.uint64) << np.uint64(20)
+    assert line_dedup._distinct(hashes, np.array([2, 0, 2, 1])).tolist() == [1, 0, 2, 1]
+
+
 def test_line_dedup_of_templated_lines(spark):
     # lines of one template with a similarity of 0.5 to 0.7; 300 pairs of them at 0.88
     r = random.Random(8)
