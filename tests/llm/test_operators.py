@@ -381,6 +381,52 @@ def test_line_dedup_finds_pairs_at_the_threshold(spark):
     assert {(x.id, x.keep_id) for x in line_dedup.repeated_lines(df).collect()} == {(k + 1, k) for k in range(0, len(lines), 2)}
 
 
+def test_line_dedup_is_native_and_compares_all_of_a_bucket(spark, monkeypatch):
+    # all bands in one bucket, looked at by pairs, after a pivot, and by rare hashes; no Python in any plan
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(n))
+    common, lines = letters(150), []
+    for _ in range(12):
+        own = letters(90)
+        lines += [common + own, common + own + letters(10)]
+    lines += ["ha" * 30, "ha" * 300, "ab"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    plans, write = [], line_dedup.scratch
+
+    def seen(table):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return write(table)
+
+    for module in (line_dedup, links):
+        monkeypatch.setattr(module, "scratch", seen)
+    monkeypatch.setattr(line_dedup, "band_key", lambda part, minima: F.lit(1).cast("long"))
+    want = {(k + 1, k) for k in range(0, 26, 2)}
+    for small, most in ((1000, 1000), (1, 1000), (1, 1)):
+        monkeypatch.setattr(links, "ALL_PAIRS", small)
+        monkeypatch.setattr(links, "MOST_PAIRS", most)
+        assert {(x.id, x.keep_id) for x in line_dedup.repeated_lines(df).collect()} == want
+    assert len(plans) > 30 and not any(name in plan for plan in plans for name in ("Arrow", "Python", "Pandas"))
+
+
+def test_bands_and_sketches_miss_few_similar_sets(spark):
+    # 3000 pairs of similarity 0.8 of 5 to 600 shingles in all: none without a common band, none ruled out
+    r = random.Random(7)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for k in range(3000):
+        one = letters(r.choice([13, 14, 17, 21, 29, 49, 89, 200, 489]))
+        n = len(one) - 9
+        rows += [(2 * k, one), (2 * k + 1, one + letters(n // 4))]
+    df = spark.createDataFrame(rows, "rep long, line string")
+    bands = line_dedup.band_rows(df.select("line", F.col("rep").alias("name")), 10, 15, 3)
+    pair = F.floor(F.col("rep") / 2).alias("pair")
+    assert bands.select("key", pair, "rep").groupBy("key", "pair").agg(F.count_distinct("rep").alias("c")).where("c = 2").select("pair").distinct().count() == 3000
+    sk = links.sketches(df.select("rep", F.col("line").cast("binary").alias("payload")), line_dedup.shingle_set(10)).withColumn("pair", pair)
+    assert {x.rep: x["size"] for x in sk.collect()} == {k: len({t[i : i + 10] for i in range(len(t) - 9)}) for k, t in rows}
+    both = sk.where("rep % 2 = 0").alias("x").join(sk.where("rep % 2 = 1").alias("y"), "pair")
+    assert both.where(links._may_fit("x", "y", 80)).count() == 3000
+
+
 def test_decontamination(spark, docs, none):
     items = [" ".join(words(40, 5000)), "Alice bought 12 kg of fine apples, and Maria paid 40 dollars for the same 12 kg in the old market of town"]
     bench = spark.createDataFrame([(0, items[0]), (1, items[1]), (2, None), (3, "too short")], "item_id long, text string")
