@@ -189,8 +189,10 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def training_rows(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of variants of at most `most` candidates of rows (text), those with the least hashes."""
-    some = _candidates(rows).orderBy(F.xxhash64("kind", "span", "before"), "kind", "span", "before").limit(most)
+    """Features and labels of variants of at most `most` different candidates of rows (text), those with the least hashes.
+
+    One that is repeated counts once, so that its copies don't take the place of all others."""
+    some = _candidates(rows).distinct().orderBy(F.xxhash64("kind", "span", "before"), "kind", "span", "before").limit(most)
     variants = F.lit(None).cast(_VARIANT)
     for k in ALL_KINDS:
         variants = F.when(F.col("kind") == k, _variants(k, F.col("span"), F.col("before"))).otherwise(variants)

@@ -69,3 +69,11 @@ def test_many_matches_and_long_secrets(spark):
     found = [got[i].n_secrets for i in range(len(keys))]
     assert sum(found) >= 0.9 * len(keys) and all(found[24:])
     assert sum(got[i].n_secrets for i in range(len(keys), len(texts))) <= 1
+
+
+def test_copies_of_a_candidate_count_once(spark):
+    # 5000 copies of one address: the others are still among 100 candidates, whatever their hashes
+    texts = ["ask 10.0.0.7 now"] * 5000 + [f"write to person{k}@example.org today" for k in range(60)]
+    x, _ = pii.training_rows(spark.createDataFrame([(t,) for t in texts], "text string"), 100)
+    y, _ = pii.training_rows(spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "text string"), 100)
+    assert x.tolist() == y.tolist()
