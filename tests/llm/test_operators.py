@@ -427,6 +427,32 @@ def test_bands_and_sketches_miss_few_similar_sets(spark):
     assert both.where(links._may_fit("x", "y", 80)).count() == 3000
 
 
+def test_sketches_rule_out_no_similar_pair_and_most_others(spark, monkeypatch):
+    # lines of one template in one bucket: pairs at the threshold pass, and of those of similarity 0.65 few are compared
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, lines = letters(350), []
+    for _ in range(20):
+        own = letters(93)
+        lines += [common + own, common + own + letters(108)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "band_key", lambda part, minima: F.lit(1).cast("long"))
+    monkeypatch.setattr(links, "ALL_PAIRS", 1000)
+    compared, confirm = [], links._confirm
+    monkeypatch.setattr(links, "_confirm", lambda pairs, *how: compared.append(pairs.count()) or confirm(pairs, *how))
+    assert {(x.id, x.keep_id) for x in line_dedup.repeated_lines(df).collect()} == {(k + 1, k) for k in range(0, len(lines), 2)}
+    assert 20 <= compared[0] <= 60
+
+
+def test_long_lines_take_time_in_proportion(spark):
+    # a column of bytes read for each shingle would copy 400 KB for each of 400,000: over ten seconds
+    line = "".join(random.Random(12).choices("abcdefghijklmnopqrstuvwxyz", k=400_000)).encode()
+    df = spark.createDataFrame([(1, bytearray(line))], "rep long, payload binary")
+    began = time.perf_counter()
+    assert links.sketches(df, line_dedup.shingle_set(10)).first()["size"] == len({line[i : i + 10] for i in range(len(line) - 9)})
+    assert time.perf_counter() - began < 10
+
+
 def test_decontamination(spark, docs, none):
     items = [" ".join(words(40, 5000)), "Alice bought 12 kg of fine apples, and Maria paid 40 dollars for the same 12 kg in the old market of town"]
     bench = spark.createDataFrame([(0, items[0]), (1, items[1]), (2, None), (3, "too short")], "item_id long, text string")
